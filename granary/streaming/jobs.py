@@ -76,13 +76,14 @@ def merge_snapshot(current: DataFrame | None, rows: DataFrame, keys: Sequence[st
     return latest_per_key(both, keys, at, [F.desc_nulls_last(c) for c in both.columns if c not in (*keys, at)])
 
 
-def refresh_snapshot(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def refresh_snapshot(rows: DataFrame, path: str, checkpoint: str, once: bool = True,
+                     keys: Sequence[str] = ("mandi_id", "commodity"), at: str = "date") -> StreamingQuery:
     """Keep a versioned snapshot up to date. A batch writes the version with its own number from the one
     before, so a repeated batch overwrites its own output and nothing else."""
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         current = spark.read.parquet(f"{path}/v{number - 1}") if number > 0 else None
-        merge_snapshot(current, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        merge_snapshot(current, batch, keys, at).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
