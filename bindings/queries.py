@@ -493,9 +493,9 @@ def _(spark, d):
         F.count("*").alias("n"), F.count("latitude").alias("located"))
 
 
-@check("j7_fallback", "SELECT " + cols("mandi_id date match_level", r4="modis_ndvi ndvi_anomaly") + " FROM matched")
+@check("j7_fallback", "SELECT " + cols("mandi_id date match_level", r6="modis_ndvi", r4="ndvi_anomaly") + " FROM matched")
 def _(spark, d):
-    return to(day_anomaly(spark, d), "mandi_id date match_level", r4="modis_ndvi ndvi_anomaly")
+    return to(day_anomaly(spark, d), "mandi_id date match_level", r6="modis_ndvi", r4="ndvi_anomaly")
 
 
 @check("j9_anomaly", "SELECT " + cols("mandi_id date n_baseline_years has_anomaly",
@@ -522,7 +522,7 @@ def _(spark, d):
 
 _pairs = S.km("q.latitude", "q.longitude", "l.latitude", "l.longitude")
 _knn = """
-SELECT request_id, near_id, rank, round(distance_km, 4) AS distance_km FROM (
+SELECT request_id, near_id, rank, distance_km FROM (
   SELECT request_id, near_id, distance_km, row_number() OVER (PARTITION BY request_id ORDER BY distance_km, near_id) AS rank
   FROM (SELECT q.request_id, l.mandi_id AS near_id, round({km}, 6) AS distance_km
     FROM requests q, locations l WHERE q.latitude IS NOT NULL {extra})) WHERE rank <= {k}"""
@@ -531,7 +531,7 @@ SELECT request_id, near_id, rank, round(distance_km, 4) AS distance_km FROM (
 @check("j12_knn", _knn.format(km=_pairs, extra="", k=5))
 def _(spark, d):
     near = geo.nearest_join(V.requests(spark, d), V.locations(spark, d), 5)
-    return to(near.withColumn("rank", F.col("rank").cast("bigint")), "request_id near_id rank", r4="distance_km")
+    return to(near.withColumn("rank", F.col("rank").cast("bigint")), "request_id near_id rank distance_km")
 
 
 @check("j13_knn_with_data", _knn.format(
@@ -539,7 +539,7 @@ def _(spark, d):
 def _(spark, d):
     stressed = day_anomaly(spark, d).where("ndvi_stress_flag = 1 and match_level = 'date'")
     near = geo.nearest_with_data(V.requests(spark, d), V.locations(spark, d), stressed, 2)
-    return to(near.withColumn("rank", F.col("rank").cast("bigint")), "request_id near_id rank", r4="distance_km")
+    return to(near.withColumn("rank", F.col("rank").cast("bigint")), "request_id near_id rank distance_km")
 
 
 @check("j14_neighbour_avg", "SELECT " + cols(KEY, r6="nearest5_mandi_avg_price")
@@ -900,8 +900,9 @@ def _(spark, d):
 # --- pipelines ----------------------------------------------------------------------------------
 
 GOLD = dict(r6="modal_price price_lag_7d price_mean_30d price_momentum_7d arrivals_mean_7d temp_mean_7d precip_sum_7d "
-               "humidity_mean_7d ndvi ndvi_delta_30d food_cpi_index food_wpi_index state_avg_price_7d nearest5_mandi_avg_price",
-            r4="price_std_7d modis_ndvi ndvi_anomaly ndvi_anomaly_7d_avg distance_to_nearest_major_market_km")
+               "humidity_mean_7d ndvi ndvi_delta_30d food_cpi_index food_wpi_index state_avg_price_7d nearest5_mandi_avg_price "
+               "modis_ndvi",
+            r4="price_std_7d ndvi_anomaly ndvi_anomaly_7d_avg distance_to_nearest_major_market_km")
 GOLD_PLAIN = ("mandi_id commodity date state agro_climatic_zone day_of_week month is_weekend ndvi_stress_flag "
               "target_price_7d target_price_30d")
 
@@ -950,7 +951,7 @@ LEFT JOIN snapshot s ON s.mandi_id = coalesce((SELECT o.mandi_id FROM snapshot o
    WHERE o.state = l.state AND o.commodity = r.commodity)) AND s.commodity = r.commodity"""
 S.VIEWS["found"] = _req
 S.VIEWS["judged"] = f"""
-SELECT *, {S.DECISION} AS decision, round({S.LTV} * 100, 1) AS recommended_ltv_pct FROM (
+SELECT *, {S.DECISION} AS decision, round(round({S.LTV} * 100, 6), 1) AS recommended_ltv_pct FROM (
   SELECT *, CASE WHEN commodity IS NULL OR (state IS NULL AND latitude IS NULL) THEN 'invalid_request'
     WHEN mandi_id IS NULL THEN 'no_market' WHEN NOT found THEN 'no_features' WHEN price_mean_30d IS NULL THEN 'insufficient_data'
     ELSE 'ok' END AS status,

@@ -71,8 +71,9 @@ def parse_date(value: Column | str, formats: Sequence[str]) -> Column:
 
 
 def month_label_date(label: Column | str) -> Column:
-    """'Apr-23' -> 2023-04-01."""
-    return F.try_to_timestamp(F.concat(F.lit("01-"), col(label)), F.lit("dd-MMM-yy")).cast("date")
+    """'Apr-23' -> 2023-04-01, 'Apr-95' -> 1995-04-01: years 69 to 99 belong to the last century."""
+    parsed = F.try_to_timestamp(F.concat(F.lit("01-"), col(label)), F.lit("dd-MMM-yy")).cast("date")
+    return F.when(F.year(parsed) > 2068, F.add_months(parsed, -1200)).otherwise(parsed)
 
 
 def year_month_date(year: Column | str, month_name: Column | str) -> Column:

@@ -47,11 +47,11 @@ def melt_months(df: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
     """Month columns to rows; other columns are dropped, as are cells that are not numbers."""
     months = [c for c in df.columns if c not in ids and is_month_label(c)]
     kept = [c for c in ids if c in df.columns]
-    cells = df.select(
-        *[F.col(f"`{c}`") for c in kept], *[C.number(F.col(f"`{m}`")).alias(m) for m in months])
+    cells = F.array(*[
+        F.struct(F.lit(m).alias("month_label"), C.number(F.col(f"`{m}`")).alias(value)) for m in months])
     return (
-        cells.unpivot([F.col(f"`{c}`") for c in kept], [F.col(f"`{m}`") for m in months],
-                      "month_label", value)
+        df.select(*[F.col(f"`{c}`") for c in kept], F.explode(cells).alias("_cell"))
+        .select(*[F.col(f"`{c}`") for c in kept], "_cell.*")
         .where(F.col(value).isNotNull())
         .withColumn("date", C.month_label_date("month_label"))
         .where(F.col("date").isNotNull())

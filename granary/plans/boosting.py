@@ -382,9 +382,10 @@ def _best_splits(matrix: DataFrame, state: _Pass, level: int) -> list:
     cells = matrix.mapInArrow(
         state.histograms(level),
         "model int, slot int, node int, feature int, bin int, g double, n bigint")
-    cells = cells.groupBy("model", "slot", "node", "feature", "bin").agg(
+    # Each task has already summed its rows, so one exchange on the node serves the sum, the running sums
+    # and the choice. A node's histograms have at most features x bins rows per task, whatever the data.
+    cells = cells.repartition("model", "slot", "node").groupBy("model", "slot", "node", "feature", "bin").agg(
         F.sum("g").alias("g"), F.sum("n").alias("n"))
-    # A histogram has at most `bins` rows whatever the data.
     line = Window.partitionBy("model", "slot", "node", "feature")
     left = line.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sides = cells.select(

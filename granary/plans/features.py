@@ -12,6 +12,7 @@ from granary.operators import geo, joins, windows
 from granary.operators.dedup import latest_per_key
 from granary.plans.forecast import interval_uncertainty
 from granary.plans.risk import proxy_score, score_risk
+from granary.session import durable
 
 ANOMALY_COLUMNS = ("modis_ndvi", "ndvi_anomaly", "ndvi_anomaly_7d_avg", "ndvi_anomaly_direction",
                    "ndvi_stress_flag", "ndvi_surplus_flag")
@@ -80,9 +81,10 @@ def gold_prices(prices: DataFrame, weather: DataFrame, signal_daily: DataFrame,
     """The full price feature table, one row per (market, commodity, date).
 
     Everything that depends only on (market, date) or (state, commodity, date) is built at that grain and
-    joined once; all series features share one exchange.
+    joined once; all series features share one exchange. The panel feeds six branches that need different
+    columns, so it is written once and each branch reads only its columns instead of the raw prices.
     """
-    panel = daily_panel(prices)
+    panel = durable(daily_panel(prices), "panel")
     series = windows.price_features(panel, calendar=calendar)
     days = market_days(panel)
     by_day = market_weather(days, weather)

@@ -93,7 +93,8 @@ def _with_weather(rows: DataFrame, weather: DataFrame | None) -> DataFrame:
 
 def _result(scored: DataFrame) -> DataFrame:
     ok = F.col("status") == "ok"
-    ltv_pct = F.round(F.col("recommended_ltv") * 100, 1)
+    # Rounded in two steps, so that noise in the last bits does not decide a tie.
+    ltv_pct = F.round(F.round(F.col("recommended_ltv") * 100, 6), 1)
     price = F.coalesce("modal_price", F.lit(0.0))
     parts = F.create_map(*[x for n in K.RISK_WEIGHTS for x in (F.lit(n), F.round(F.col(f"_feat_{n}") * 100, 1))])
     weights = F.create_map(*[x for n, w in K.RISK_WEIGHTS.items() for x in (F.lit(n), F.lit(w))])
