@@ -13,7 +13,7 @@ from granary.functions import columns as C
 from granary.functions import constants as K
 from granary.operators import dedup, geo, joins, metrics, quantiles, shape, splits, windows
 from granary.plans import boosting, clean, evaluation, features, forecast, reports, risk, scoring
-from granary.session import scratch_path
+from granary.session import durable, scratch_path
 from granary.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,13 +56,14 @@ def signal_days(spark, d):
 
 
 def anomaly(spark, d):
-    s = signal(spark, d)
+    s = durable(signal(spark, d), "signal")
     split = F.lit("2000-01-01").cast("date")
     return joins.signal_anomaly(s.where(F.col("date") >= split), s.where(F.col("date") < split))
 
 
 def day_anomaly(spark, d):
-    return features.market_anomaly(features.market_days(V.panel(spark, d)), anomaly(spark, d), V.locations(spark, d))
+    return features.market_anomaly(features.market_days(V.panel(spark, d)), durable(anomaly(spark, d), "anomaly"),
+                                   V.locations(spark, d))
 
 
 def weather(spark, d):
@@ -997,7 +998,7 @@ TRAINED_ON = tuple(f for f in K.FEATURES if f.startswith(("price_", "arrivals_")
 
 @check("m4_boost")
 def _(spark, d):
-    df = series(spark, d).dropna(subset=list(TRAINED_ON))
+    df = durable(series(spark, d).dropna(subset=list(TRAINED_ON)), "series")
     model = boosting.train(df, {"7d": "target_price_7d"}, TRAINED_ON, params=QUICK)
     return boosting.predict(df, model).groupBy("commodity").agg(
         F.count("*").alias("n"), F.round(F.avg(C.pinball("target_price_7d", "q50_7d", 0.5)), 2).alias("pinball_q50"),
@@ -1006,7 +1007,8 @@ def _(spark, d):
 
 @check("c14_evaluation")
 def _(spark, d):
-    rows = evaluation.evaluation_rows(series(spark, d), TRAINED_ON, top_n=3)
+    stored = durable(series(spark, d), "series")
+    rows = durable(evaluation.evaluation_rows(stored, TRAINED_ON, top_n=3), "rows")
     model = evaluation.train_on_split(rows, TRAINED_ON, params=QUICK)
     return evaluation.report(evaluation.evaluate(rows, model))
 

@@ -6,7 +6,7 @@ window partition can grow past the number of days in the history.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,12 +18,14 @@ SERIES = ("mandi_id", "commodity")
 
 
 def to_daily(df: DataFrame, keys: Sequence[str] = SERIES, means: Sequence[str] = ("modal_price",),
-             sums: Sequence[str] = ("arrivals_tonnes",), carried: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, date); carried columns depend on the keys and keep their smallest value."""
-    return df.groupBy(*keys, "date").agg(
+             sums: Sequence[str] = ("arrivals_tonnes",), parts: Sequence[str] = (),
+             smallest: Sequence[str] = ()) -> DataFrame:
+    """One row per (keys, date). `parts` are text columns the keys already contain: grouping by them too
+    keeps the aggregation on hashes, where carrying text through min() would sort."""
+    return df.groupBy(*keys, *[c for c in parts if c in df.columns], "date").agg(
         *[F.avg(c).alias(c) for c in means if c in df.columns],
         *[F.sum(c).alias(c) for c in sums if c in df.columns],
-        *[F.min(c).alias(c) for c in carried if c in df.columns],
+        *[F.min(c).alias(c) for c in smallest if c in df.columns],
     )
 
 
@@ -155,7 +157,3 @@ def regional_average(df: DataFrame, keys: Sequence[str] = ("state", "commodity")
     """Mean over all markets of a region and day, then the mean of the seven days before."""
     daily = df.groupBy(*keys, "date").agg(F.avg(value).alias("_mean"))
     return daily.withColumn(name, F.avg("_mean").over(history(keys).rowsBetween(-7, -1))).drop("_mean")
-
-
-def select_made(df: DataFrame, made: Mapping[str, Column]) -> DataFrame:
-    return df.select("*", *[c.alias(n) for n, c in made.items()])

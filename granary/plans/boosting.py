@@ -158,15 +158,15 @@ def train(df: DataFrame, targets: dict[str, str], features: Sequence[str] = K.FE
     has_target = F.lit(False)
     for t in targets.values():
         has_target = has_target | F.col(t).isNotNull()
-    kept = df.where(has_target).select(
+    kept = durable(df.where(has_target).select(
         *[F.col(k).cast("string").alias(k) for k in keys],
         *[F.coalesce(C.number(f), F.lit(0.0)).alias(f"x_{f}") for f in features],
         *[C.number(t).alias(f"y_{h}") for h, t in targets.items()],
-        F.xxhash64(*keys, *[k for k in row_key if k in df.columns]).alias("row"))
-    groups = sorted(tuple(r) for r in kept.select(*keys).distinct().collect())
-    parts = []
-    for begin in range(0, len(groups), MODELS_PER_RUN):
-        parts.append(_train_run(kept, groups[begin:begin + MODELS_PER_RUN], features, list(targets), list(keys), params))
+        F.xxhash64(*keys, *[k for k in row_key if k in df.columns]).alias("row")), "train")
+    groups = _sketches(kept, features, list(targets), list(keys), params)
+    parts = [
+        _train_run(kept, groups[begin:begin + MODELS_PER_RUN], features, list(targets), list(keys), params)
+        for begin in range(0, len(groups), MODELS_PER_RUN)]
     if not parts:
         raise ValueError("no rows with a target")
     return _join_parts(parts)
@@ -187,14 +187,25 @@ def _join_parts(parts: list[BoostModel]) -> BoostModel:
            for name in ("start", "feature", "threshold", "value")})
 
 
-def _train_run(kept: DataFrame, groups: list[tuple], features: list[str], horizons: list[str], keys: list[str],
+def _sketches(kept: DataFrame, features: list[str], horizons: list[str], keys: list[str], params: BoostParams) -> list:
+    """One row per model: its keys, the quantile sketch of every feature, the start value of every slot."""
+    shares = F.array(*[F.lit(i / params.bins) for i in range(1, params.bins)])
+    levels = F.array(*[F.lit(float(q)) for q in params.quantiles])
+    return sorted(kept.groupBy(*keys).agg(
+        *[F.percentile_approx(f"x_{f}", shares, F.lit(1000)).alias(f"x_{f}") for f in features],
+        *[F.percentile_approx(f"y_{h}", levels, F.lit(10_000)).alias(f"y_{h}") for h in horizons]).collect(),
+        key=lambda row: tuple(row[k] for k in keys))
+
+
+def _train_run(kept: DataFrame, sketches: list, features: list[str], horizons: list[str], keys: list[str],
                params: BoostParams) -> BoostModel:
     spark = kept.sparkSession
+    groups = [tuple(row[k] for k in keys) for row in sketches]
     index = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)],
                                   ", ".join(f"`{k}` string" for k in keys) + ", model int")
     rows = kept.join(index, keys)
     slots = [(h, q) for h in horizons for q in params.quantiles]
-    edges, start = _edges_and_start(rows, features, horizons, len(groups), params)
+    edges, start = _edges_and_start(sketches, features, horizons, params)
     matrix = durable(rows.mapInArrow(_binner(features, horizons, edges, start),
                                      _matrix_schema(horizons, len(slots))), "boost")
 
@@ -227,21 +238,15 @@ def _matrix_schema(horizons: Sequence[str], n_slots: int) -> str:
     return f"model int, row bigint, bins binary, {ys}, {scores}"
 
 
-def _edges_and_start(rows: DataFrame, features: list[str], horizons: list[str], n_models: int, params: BoostParams):
-    """Bin edges per (model, feature) and start value per (model, slot), from sketches."""
-    shares = F.array(*[F.lit(i / params.bins) for i in range(1, params.bins)])
-    levels = F.array(*[F.lit(float(q)) for q in params.quantiles])
-    sketches = rows.groupBy("model").agg(
-        *[F.percentile_approx(f"x_{f}", shares, F.lit(1000)).alias(f"x_{f}") for f in features],
-        *[F.percentile_approx(f"y_{h}", levels, F.lit(10_000)).alias(f"y_{h}") for h in horizons])
-    edges = np.full((n_models, len(features), params.bins - 1), np.inf)
-    start = np.zeros((n_models, len(horizons) * len(params.quantiles)))
-    for row in sketches.collect():
+def _edges_and_start(sketches: list, features: list[str], horizons: list[str], params: BoostParams):
+    """Bin edges [model, feature, bin] and start values [model, slot]; missing edges are infinite."""
+    edges = np.full((len(sketches), len(features), params.bins - 1), np.inf)
+    start = np.zeros((len(sketches), len(horizons) * len(params.quantiles)))
+    for m, row in enumerate(sketches):
         for i, f in enumerate(features):
             distinct = np.unique(row[f"x_{f}"])
-            edges[row["model"], i, :len(distinct)] = distinct
-        values = [v for h in horizons for v in (row[f"y_{h}"] or [0.0] * len(params.quantiles))]
-        start[row["model"]] = values
+            edges[m, i, :len(distinct)] = distinct
+        start[m] = [v for h in horizons for v in (row[f"y_{h}"] or [0.0] * len(params.quantiles))]
     return edges, start
 
 

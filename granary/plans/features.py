@@ -24,15 +24,17 @@ def with_market_ids(prices: DataFrame) -> DataFrame:
     return prices.withColumn("mandi_id", C.market_key("state", "district", "market_code", "market"))
 
 
+PARTS, PLACE = ("state", "district"), ("latitude", "longitude")
+
+
 def daily_panel(prices: DataFrame) -> DataFrame:
-    """One row per (market, commodity, date), varieties averaged."""
-    return windows.to_daily(with_market_ids(prices), carried=("state", "district", "latitude", "longitude"))
+    """One row per (market, commodity, date), varieties averaged; the market id holds state and district."""
+    return windows.to_daily(with_market_ids(prices), parts=PARTS, smallest=PLACE)
 
 
 def market_days(panel: DataFrame) -> DataFrame:
     """The distinct (market, date) pairs with the market's place."""
-    carried = [c for c in ("state", "district", "latitude", "longitude") if c in panel.columns]
-    return panel.groupBy("mandi_id", "date").agg(*[F.min(c).alias(c) for c in carried])
+    return windows.to_daily(panel, ["mandi_id"], means=(), sums=(), parts=PARTS, smallest=PLACE)
 
 
 def market_weather(days: DataFrame, weather: DataFrame) -> DataFrame:
