@@ -101,7 +101,7 @@ def risk_table(spark, d):
 
 
 def scores(spark, d):
-    return features.score_table(risk_table(spark, d))
+    return durable(features.score_table(risk_table(spark, d)), "scores")
 
 
 def snapshot(spark, d):
@@ -109,8 +109,10 @@ def snapshot(spark, d):
 
 
 def gold(spark, d):
-    return features.gold_prices(V.panel(spark, d), weather(spark, d), signal_days(spark, d), cpi(spark, d),
-                                wpi(spark, d), day_anomaly(spark, d), V.zones(spark, d))
+    """Built as the pipeline does it: from stored clean tables."""
+    stored = [durable(df) for df in (weather(spark, d), signal_days(spark, d), cpi(spark, d), wpi(spark, d),
+                                     day_anomaly(spark, d))]
+    return features.gold_prices(V.panel(spark, d), *stored, V.zones(spark, d))
 
 
 # --- text, numbers, dates -----------------------------------------------------------------------
@@ -666,14 +668,14 @@ SELECT count(*) FILTER (p = 1 AND a = 1) AS tp, count(*) FILTER (p = 1 AND a = 0
   count(*) FILTER (decision = 'APPROVE') AS n_approve, count(*) FILTER (decision = 'CONDITIONAL') AS n_conditional,
   count(*) FILTER (decision = 'REJECT') AS n_reject FROM ({_label}))""")
 def _(spark, d):
-    return to(risk.evaluate_decisions(risk_table(spark, d)),
+    return to(risk.evaluate_decisions(durable(risk_table(spark, d), "risk")),
               "tp fp fn tn n_samples n_approve n_conditional n_reject",
               r6="precision recall f1 accuracy avg_risk_score avg_recommended_ltv")
 
 
 @check("m13_high_risk_label", f"SELECT state, district, commodity, a AS synthetic_high_risk FROM ({_label})")
 def _(spark, d):
-    return risk.label_high_risk(risk_table(spark, d)).select("state", "district", "commodity", "synthetic_high_risk")
+    return risk.label_high_risk(durable(risk_table(spark, d), "risk")).select("state", "district", "commodity", "synthetic_high_risk")
 
 
 @check("a17_match_rate", """

@@ -42,6 +42,19 @@ def spaced(value: Column | str) -> Column:
     return F.replace(clean_text(value), F.lit("-"), F.lit(" "))
 
 
+def title(value: Column | str) -> Column:
+    return F.initcap(F.trim(col(value)))
+
+
+def first_word(value: Column | str, separator: str = "_") -> Column:
+    return F.split_part(col(value), F.lit(separator), F.lit(1))
+
+
+def short_id() -> Column:
+    """A new eight-letter id per row; every evaluation draws another, so write it before using it twice."""
+    return F.substring(F.uuid(), 1, 8)
+
+
 def contains_text(value: Column | str, term: str) -> Column:
     """Case-folded substring test; NULL counts as no match."""
     return F.coalesce(F.contains(F.upper(col(value)), F.lit(term.strip().upper())), F.lit(False))
@@ -90,6 +103,13 @@ def next_month_start(date: Column | str) -> Column:
     return F.add_months(month_start(date), 1)
 
 
+def date_chunks(start: Column | str, end: Column | str, days: int = 90) -> Column:
+    """The range cut into stretches of so many days: array of (start, end), both inclusive."""
+    begins = F.sequence(col(start), col(end), F.make_dt_interval(F.lit(days)))
+    return F.transform(begins, lambda d: F.struct(
+        d.alias("start"), F.least(F.date_add(d, days - 1), col(end)).alias("end")))
+
+
 def calendar_parts(date: Column | str) -> dict[str, Column]:
     """Monday is day 0; Saturday and Sunday are the weekend."""
     weekday = F.weekday(col(date))

@@ -29,7 +29,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[C
 def inconsistent_keys(df: DataFrame, key: str, details: Sequence[str]) -> DataFrame:
     """Keys that carry more than one value of any detail, NULL counting as a value.
 
-    Smallest against largest needs no distinct sets, so the whole audit is one partial aggregation.
+    Copies go first, on hashes and on the map side; smallest against largest then needs no distinct sets.
     """
     def varies(name: str) -> Column:
         nulls = F.max(F.col(name).isNull().cast("int"))
@@ -37,7 +37,7 @@ def inconsistent_keys(df: DataFrame, key: str, details: Sequence[str]) -> DataFr
         differs = F.coalesce(F.min(name) != F.max(name), F.lit(False))
         return differs | (nulls + known == 2)
 
-    audit = df.groupBy(key).agg(*[varies(d).alias(f"varies_{d}") for d in details])
+    audit = df.select(key, *details).distinct().groupBy(key).agg(*[varies(d).alias(f"varies_{d}") for d in details])
     some = audit[f"varies_{details[0]}"]
     for d in details[1:]:
         some = some | audit[f"varies_{d}"]

@@ -30,6 +30,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapp
         F.count("*").alias("_total"),
         F.percentile_approx("_v", F.array(*map(F.lit, points)), F.lit(accuracy)).alias("_cut"))
 
+    if keys:
+        matched = known.join(sketch, "_g")
+    else:
+        # One group: its sketch is a scalar, not a join side.
+        packed = sketch.agg(F.first(F.struct("_total", "_cut"))).scalar()
+        matched = known.withColumn("_s", packed).select("_g", "_v", "_s._total", "_s._cut")
     small = F.col("_total") <= accuracy
     inside, passed = small, F.lit(0)
     for i in range(len(wanted)):
@@ -37,7 +43,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapp
         inside = inside | F.col("_v").between(low, high)
         passed = passed + (F.col("_v") >= low).cast("int") + (F.col("_v") > high).cast("int")
     # The slot counts the bracket ends a value has passed, so slots are in value order.
-    counted = known.join(sketch, "_g").groupBy(
+    counted = matched.groupBy(
         "_g", "_total",
         F.when(small, F.lit(0)).otherwise(passed).alias("_slot"),
         F.when(inside, F.col("_v")).alias("_v"),

@@ -32,11 +32,12 @@ def chronological_split(df: DataFrame, keys: Sequence[str], train: float = 0.70,
 
 def walk_forward_folds(df: DataFrame, min_train_months: int = 6, val_months: int = 1) -> DataFrame:
     """(month_start, fold, role): an expanding training window followed by its validation months."""
-    months = df.select(C.month_start("date").alias("month_start")).distinct()
-    # One row per calendar month: small enough to rank in one task whatever the data.
-    ranked = months.withColumn("month_idx", F.dense_rank().over(Window.orderBy("month_start")))
-    last = ranked.agg(F.floor((F.max("month_idx") - min_train_months) / val_months).cast("int")).scalar()
-    folds = ranked.withColumn("_last", last).where(F.col("_last") > 0).withColumn(
+    # The months of the whole table are one short array: one entry per calendar month, whatever the data.
+    months = df.agg(F.array_sort(F.collect_set(C.month_start("date"))).alias("_all"))
+    ranked = months.select(
+        F.floor((F.size("_all") - min_train_months) / val_months).cast("int").alias("_last"),
+        F.posexplode("_all").alias("_pos", "month_start")).withColumn("month_idx", F.col("_pos") + 1)
+    folds = ranked.where(F.col("_last") > 0).withColumn(
         "fold", F.explode(F.sequence(F.lit(1), F.col("_last"))))
     train_end = F.lit(min_train_months) + (F.col("fold") - 1) * val_months
     role = (F.when(F.col("month_idx") <= train_end, "train")

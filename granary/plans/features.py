@@ -68,7 +68,8 @@ def join_anomaly(panel: DataFrame, anomaly: DataFrame | None) -> DataFrame:
 def anomaly_prices(panel: DataFrame, anomaly: DataFrame) -> DataFrame:
     """Prices with the anomaly, its interaction, its score within the commodity, and observation age."""
     aged = windows.observation_age(anomaly, "modis_ndvi")
-    joined = join_market_days(panel, aged)
+    # The commodity statistics need a pass of their own, so the joined rows are written once and read twice.
+    joined = durable(join_market_days(panel, aged), "anomaly-prices")
     scored = joins.attach_group_stats(
         joined, ["commodity"], _mean=F.avg("ndvi_anomaly"), _std=F.stddev_samp("ndvi_anomaly"))
     return scored.withColumns({
@@ -96,8 +97,9 @@ def gold_prices(prices: DataFrame, weather: DataFrame, signal_daily: DataFrame,
     out = join_anomaly(out, anomaly)
     out = joins.join_published_index(out, joins.consumer_price_index(cpi), joins.wholesale_price_index(wpi))
     out = out.join(windows.regional_average(panel), ["state", "commodity", "date"], "left")
-    places = panel.groupBy("mandi_id").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
-    out = geo.neighbour_average(out, places.dropna())
+    places = durable(panel.groupBy("mandi_id").agg(
+        F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude")).dropna(), "places")
+    out = geo.neighbour_average(out, places)
     out = out.withColumns({
         **C.calendar_parts("date"),
         "distance_to_nearest_major_market_km": C.hub_distance_km("latitude", "longitude")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,17 @@ def write_by_state(df: DataFrame, path: str) -> None:
     write_partitioned(df.withColumn("state", state), path)
 
 
-def write_flat(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("compression", "snappy").parquet(path)
+def ordered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Total order over all files, by range partitions."""
+    return df.orderBy(*by) if by else df
+
+
+def write_flat(df: DataFrame, path: str, mode: str = "overwrite", by: Sequence[str] = ()) -> None:
+    ordered(df, by).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", by: Sequence[str] = ()) -> None:
+    ordered(df, by).write.mode(mode).option("header", True).csv(path)
 
 
 def write_prediction_log(df: DataFrame, path: str, at: str = "timestamp") -> None:

@@ -66,6 +66,14 @@ def test_categories(spark):
     assert one(spark, C.commodity_category("t"), t="UNKNOWN") == "Other"
 
 
+def test_small_helpers(spark):
+    assert one(spark, C.title("t"), t=" uttar pradesh") == "Uttar Pradesh"
+    assert one(spark, C.first_word("t"), t="UTTAR_PRADESH") == "UTTAR"
+    assert len(one(spark, C.short_id())) == 8
+    chunks = one(spark, C.date_chunks(F.lit(date(2025, 1, 1)), F.lit(date(2025, 1, 10)), 4))
+    assert [(c["start"].day, c["end"].day) for c in chunks] == [(1, 4), (5, 8), (9, 10)]
+
+
 def test_distance(spark):
     km = C.haversine_km(F.lit(28.7130), F.lit(77.1780), F.lit(19.0440), F.lit(72.9980))
     assert one(spark, km) == pytest.approx(1152, abs=5)
