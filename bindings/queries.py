@@ -55,8 +55,8 @@ def signal_days(spark, d):
     return clean.daily_signal(signal(spark, d))
 
 
-def anomaly(spark, d):
-    s = durable(signal(spark, d), "signal")
+def anomaly(spark, d, cleaned=None):
+    s = durable(signal(spark, d), "signal") if cleaned is None else cleaned
     split = F.lit("2000-01-01").cast("date")
     return joins.signal_anomaly(s.where(F.col("date") >= split), s.where(F.col("date") < split))
 
@@ -110,9 +110,11 @@ def snapshot(spark, d):
 
 def gold(spark, d):
     """Built as the pipeline does it: from stored clean tables."""
-    stored = [durable(df) for df in (weather(spark, d), signal_days(spark, d), cpi(spark, d), wpi(spark, d),
-                                     day_anomaly(spark, d))]
-    return features.gold_prices(V.panel(spark, d), *stored, V.zones(spark, d))
+    prices, readings = durable(V.panel(spark, d), "prices"), durable(signal(spark, d), "signal")
+    scored = durable(anomaly(spark, d, readings), "anomaly")
+    by_day = features.market_anomaly(features.market_days(prices), scored, V.locations(spark, d))
+    return features.gold_prices(prices, durable(weather(spark, d)), clean.daily_signal(readings),
+                                durable(cpi(spark, d)), durable(wpi(spark, d)), durable(by_day), V.zones(spark, d))
 
 
 # --- text, numbers, dates -----------------------------------------------------------------------
@@ -190,7 +192,8 @@ def _(spark, d):
 
 @check("c1_clean_prices", "SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month FROM prices")
 def _(spark, d):
-    return clean.clean_prices(V.raw_prices(spark, d))
+    # Stored first, as the raw files are: else each derived text is worked out again wherever it is read.
+    return clean.clean_prices(durable(V.raw_prices(spark, d), "raw"))
 
 
 @check("c2_clean_weather", "SELECT * FROM weather")
@@ -251,7 +254,7 @@ def _(spark, d):
 
 
 def raw_history(spark, d):
-    return V.raw_prices(spark, d).select(
+    return durable(V.raw_prices(spark, d), "raw").select(
         F.col("state_name").alias("State"), F.col("district_name").alias("District"),
         F.concat(F.col("market_center"), F.lit(" ")).alias("Market Center"), F.col("commodity").alias("Commodity"),
         F.col("variety").alias("Variety"), F.col("modal_price").alias("Modal Price (Rs/Quintal)"),

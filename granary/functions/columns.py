@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -77,10 +78,28 @@ def leading_digits(value: Column | str) -> Column:
     return F.regexp_extract(col(value).cast("string"), r"(\d+)", 1).try_cast("int")
 
 
+_FIELDS = {"yyyy": r"(\d{4})", "MMM": "([A-Za-z]{3})", "MM": r"(\d{2})", "M": r"(\d{1,2})", "dd": r"(\d{2})",
+           "d": r"(\d{1,2})"}
+
+
+def _read_date(text: Column, pattern: str) -> Column:
+    """Text of the pattern's shape as a date. Checking the shape first spares a failed parse per row and
+    pattern, and all-digit shapes become ISO text, which the plain cast reads fastest."""
+    parts = re.findall("y+|M+|d+|[^yMd]+", pattern)
+    shape = "^" + "".join(_FIELDS.get(p) or re.escape(p) for p in parts) + "$"
+    fields = [p[0] for p in parts if p in _FIELDS]
+    if "MMM" in parts:
+        parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+    else:
+        iso = "-".join(f"${fields.index(f) + 1}" for f in "yMd")
+        parsed = F.regexp_replace(text, shape, iso).try_cast("date")
+    return F.when(text.rlike(shape), parsed)
+
+
 def parse_date(value: Column | str, formats: Sequence[str]) -> Column:
     """The first pattern that reads the text wins."""
     text = F.trim(col(value).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[_read_date(text, f) for f in formats])
 
 
 def month_label_date(label: Column | str) -> Column:

@@ -143,15 +143,22 @@ def nearest_with_data(queries: DataFrame, points: DataFrame, available: DataFram
     return nearest_join(queries, points.join(ids, "mandi_id", "left_semi"), k, **names)
 
 
-def neighbour_average(daily: DataFrame, locations: DataFrame, k: int = 5, value: str = "modal_price",
-                      name: str = "nearest5_mandi_avg_price") -> DataFrame:
-    """Mean price of the k nearest other markets, same commodity and day; `daily` has one row per series day."""
+def neighbour_means(daily: DataFrame, locations: DataFrame, k: int = 5, value: str = "modal_price",
+                    name: str = "nearest5_mandi_avg_price") -> DataFrame:
+    """Per (market, commodity, date) the mean price of the k nearest other markets that day.
+
+    `daily` has one row per series day. Each price goes to the markets that have its market as a neighbour.
+    """
     near = nearest_join(locations.select("mandi_id", "latitude", "longitude"), locations, k,
                         exclude_id="mandi_id").select(F.col("mandi_id").alias("_for"), "near_id")
     prices = daily.select(F.col("mandi_id").alias("near_id"), "commodity", "date", value)
-    means = prices.join(near, "near_id").groupBy(F.col("_for").alias("mandi_id"), "commodity", "date").agg(
+    return prices.join(near, "near_id").groupBy(F.col("_for").alias("mandi_id"), "commodity", "date").agg(
         F.avg(value).alias(name))
-    return daily.join(means, ["mandi_id", "commodity", "date"], "left")
+
+
+def neighbour_average(daily: DataFrame, locations: DataFrame, k: int = 5, value: str = "modal_price",
+                      name: str = "nearest5_mandi_avg_price") -> DataFrame:
+    return daily.join(neighbour_means(daily, locations, k, value, name), ["mandi_id", "commodity", "date"], "left")
 
 
 def resolve_by_name(requests: DataFrame, locations: DataFrame) -> DataFrame:

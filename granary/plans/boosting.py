@@ -158,6 +158,8 @@ def train(df: DataFrame, targets: dict[str, str], features: Sequence[str] = K.FE
     has_target = F.lit(False)
     for t in targets.values():
         has_target = has_target | F.col(t).isNotNull()
+    for k in keys:
+        has_target = has_target & F.col(k).isNotNull()
     kept = durable(df.where(has_target).select(
         *[F.col(k).cast("string").alias(k) for k in keys],
         *[F.coalesce(C.number(f), F.lit(0.0)).alias(f"x_{f}") for f in features],

@@ -60,9 +60,9 @@ def join_anomaly(panel: DataFrame, anomaly: DataFrame | None) -> DataFrame:
     if anomaly is None:
         kinds = {"ndvi_stress_flag": "int", "ndvi_surplus_flag": "int"}
         return panel.withColumns({c: F.lit(None).cast(kinds.get(c, "double")) for c in ANOMALY_COLUMNS})
-    first = latest_per_key(anomaly.select("mandi_id", "date", *ANOMALY_COLUMNS), ["mandi_id", "date"], "date",
-                           list(ANOMALY_COLUMNS))
-    return join_market_days(panel, first, ANOMALY_COLUMNS)
+    # The columns depend on (market, date), but a table at price grain repeats them.
+    daily = anomaly.groupBy("mandi_id", "date").agg(*[F.max(c).alias(c) for c in ANOMALY_COLUMNS])
+    return join_market_days(panel, daily, ANOMALY_COLUMNS)
 
 
 def anomaly_prices(panel: DataFrame, anomaly: DataFrame) -> DataFrame:
@@ -88,18 +88,16 @@ def gold_prices(prices: DataFrame, weather: DataFrame, signal_daily: DataFrame,
     columns, so it is written once and each branch reads only its columns instead of the raw prices.
     """
     panel = durable(daily_panel(prices), "panel")
-    series = windows.price_features(panel, calendar=calendar)
-    days = market_days(panel)
-    by_day = market_weather(days, weather)
+    places = durable(panel.groupBy("mandi_id").agg(
+        F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude")).dropna(), "places")
     signal = windows.signal_delta(signal_daily.select("mandi_id", "date", "ndvi"))
-    by_day = by_day.join(signal, ["mandi_id", "date"], "left")
-    out = join_market_days(series, by_day)
-    out = join_anomaly(out, anomaly)
+    by_day = market_weather(market_days(panel), weather).join(signal, ["mandi_id", "date"], "left")
+    by_day = join_anomaly(by_day, anomaly)
+    out = windows.price_features(panel, calendar=calendar).join(
+        geo.neighbour_means(panel, places), ["mandi_id", "commodity", "date"], "left")
+    out = join_market_days(out, by_day)
     out = joins.join_published_index(out, joins.consumer_price_index(cpi), joins.wholesale_price_index(wpi))
     out = out.join(windows.regional_average(panel), ["state", "commodity", "date"], "left")
-    places = durable(panel.groupBy("mandi_id").agg(
-        F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude")).dropna(), "places")
-    out = geo.neighbour_average(out, places)
     out = out.withColumns({
         **C.calendar_parts("date"),
         "distance_to_nearest_major_market_km": C.hub_distance_km("latitude", "longitude")})

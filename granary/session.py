@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: every task runs on this machine there.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
     if not context.master.startswith("local"):
