@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import columns as C
+from granary.operators.joins import attach_scalar
 from granary.operators.quantiles import exact_quantiles
 
 LOSSES = ("pinball_q10", "pinball_q50", "pinball_q90", "rmse", "mape")
@@ -29,7 +30,7 @@ def forecast_metrics(df: DataFrame, keys: Sequence[str], actual: str = "y", low:
         F.avg(F.col(high) - F.col(low)).alias("avg_interval_width"),
     )
     middle_size = exact_quantiles(df.withColumn("_size", size), keys, "_size", {"_median": 0.5})
-    joined = summary.join(middle_size, list(keys), "left") if keys else summary.join(middle_size)
+    joined = summary.join(middle_size, list(keys), "left") if keys else attach_scalar(summary, middle_size)
     return joined.withColumn(
         "relative_interval_width",
         F.when(F.col("_median") > 0, F.col("avg_interval_width") / F.col("_median") * 100)).drop("_median")
