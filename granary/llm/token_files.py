@@ -168,6 +168,50 @@ def shard_uri(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:06d}.bin"
 
 
+def write_shard(
+    batches: Iterator[pa.RecordBatch], folder: str, cache: WordCache, end_id: int,
+) -> Iterator[pa.RecordBatch]:
+    """Stream the ids of a partition to its shard; gives the shard's number and sizes."""
+    context = TaskContext.get()
+    shard, uri = context.partitionId(), shard_uri(folder, context.partitionId())
+    end = np.array([end_id], cache.type).tobytes()
+    ids: list[int] = []
+    lengths: list[int] = []
+    nulls = 0
+    files, path = place(uri)
+    files.create_dir(path.rpartition("/")[0])
+    own = f"{path}.{context.taskAttemptId()}"
+    with files.open_output_stream(own) as out:
+        out.write(MAGIC)
+        first = True
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(1).to_pylist()
+                got = cache.encode(texts)
+                if first and cache.by_space and cache.whole([texts[0] or ""])[0] != got[0]:
+                    raise ValueError("this tokenizer does not encode word by word; use by_space=False")
+                first = False
+                for i, data in zip(part.column(0).to_pylist(), got):
+                    nulls += i is None
+                    if i is not None:
+                        ids.append(i)
+                    lengths.append(len(data) // cache.width + 1)
+                    out.write(data + end)
+        ends = np.cumsum(lengths, dtype=np.uint64) if lengths else np.zeros(0, np.uint64)
+        least = ids[0] if ids else 0
+        codes = [EliasFano.of(np.array([i - least for i in ids], np.uint64)).to_bytes(), EliasFano.of(ends).to_bytes()]
+        for code in codes:
+            out.write(code)
+        out.write(FOOTER.pack(len(lengths), nulls, least, int(sum(lengths)), cache.width, *map(len, codes), MAGIC))
+    if files.get_file_info(path).type != pafs.FileType.NotFound:
+        files.delete_file(path)
+    files.move(own, path)
+    yield pa.RecordBatch.from_pydict(
+        {"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(lengths)], pa.int64()),
+         "n_tokens": pa.array([int(sum(lengths))], pa.int64())})
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_space: bool = False, shards: int | None = None,
     id_column: str = "doc_id", text_column: str = "text",
@@ -188,45 +232,7 @@ def write_token_files(
         .sortWithinPartitions(F.col("id").asc_nulls_first(), "text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        shard, uri = context.partitionId(), shard_uri(folder, context.partitionId())
-        cache = word_cache(tokenizer, by_space)
-        end = np.array([end_id], cache.type).tobytes()
-        ids: list[int] = []
-        lengths: list[int] = []
-        nulls = 0
-        files, path = place(uri)
-        files.create_dir(path.rpartition("/")[0])
-        own = f"{path}.{context.taskAttemptId()}"
-        with files.open_output_stream(own) as out:
-            out.write(MAGIC)
-            first = True
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    texts = part.column(1).to_pylist()
-                    got = cache.encode(texts)
-                    if first and by_space and cache.whole([texts[0] or ""])[0] != got[0]:
-                        raise ValueError("this tokenizer does not encode word by word; use by_space=False")
-                    first = False
-                    for i, data in zip(part.column(0).to_pylist(), got):
-                        nulls += i is None
-                        if i is not None:
-                            ids.append(i)
-                        lengths.append(len(data) // cache.width + 1)
-                        out.write(data + end)
-            ends = np.cumsum(lengths, dtype=np.uint64) if lengths else np.zeros(0, np.uint64)
-            least = ids[0] if ids else 0
-            codes = [EliasFano.of(np.array([i - least for i in ids], np.uint64)).to_bytes(), EliasFano.of(ends).to_bytes()]
-            for code in codes:
-                out.write(code)
-            out.write(FOOTER.pack(len(lengths), nulls, least, int(sum(lengths)), cache.width, *map(len, codes), MAGIC))
-        if files.get_file_info(path).type != pafs.FileType.NotFound:
-            files.delete_file(path)
-        files.move(own, path)
-        yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(lengths)], pa.int64()),
-             "n_tokens": pa.array([int(sum(lengths))], pa.int64())})
+        return write_shard(batches, folder, word_cache(tokenizer, by_space), end_id)
 
     done = dealt.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect()
     table, base = [], 0
@@ -263,6 +269,24 @@ class ShardFile:
         return [None] * self.nulls + [int(v) + self.least for v in self.ids.values()]
 
 
+def read_shards(batches: Iterator[pa.RecordBatch], folder: str, block: int) -> Iterator[pa.RecordBatch]:
+    """Documents of the shards named in the batches, about block ids at a time."""
+    for batch in batches:
+        for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            file = ShardFile(shard_uri(folder, shard))
+            ids, ends = file.doc_ids(), file.ends.values().astype(np.int64)
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            i = 0
+            while i < len(ids):
+                j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
+                tokens = file.tokens(int(starts[i]), int(ends[j - 1])).astype("<u4")
+                cut = [tokens[a - starts[i] : b - starts[i]].tobytes() for a, b in zip(starts[i:j], ends[i:j])]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": pa.array(ids[i:j], pa.int64()), "start": pa.array(starts[i:j] + base, pa.int64()),
+                     "n_tokens": pa.array(ends[i:j] - starts[i:j], pa.int64()), "ids": pa.array(cut, pa.binary())})
+                i = j
+
+
 def read_token_files(spark: SparkSession, folder: str, table: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Documents of the shards in table: (doc_id, start, n_tokens, ids as little-endian unsigned 32-bit integers).
 
@@ -270,20 +294,7 @@ def read_token_files(spark: SparkSession, folder: str, table: DataFrame, block:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                file = ShardFile(shard_uri(folder, shard))
-                ids, ends = file.doc_ids(), file.ends.values().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                i = 0
-                while i < len(ids):
-                    j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
-                    tokens = file.tokens(int(starts[i]), int(ends[j - 1])).astype("<u4")
-                    cut = [tokens[a - starts[i] : b - starts[i]].tobytes() for a, b in zip(starts[i:j], ends[i:j])]
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": pa.array(ids[i:j], pa.int64()), "start": pa.array(starts[i:j] + base, pa.int64()),
-                         "n_tokens": pa.array(ends[i:j] - starts[i:j], pa.int64()), "ids": pa.array(cut, pa.binary())})
-                    i = j
+        return read_shards(batches, folder, block)
 
     shards = table.select("shard", "base").repartition(max(1, min(table.count(), 10_000)))
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
