@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of a text, A-Z lower-cased, everything but digits, letters and non-ASCII bytes turned into spaces.
 ALNUM = bytes(
@@ -27,6 +28,11 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def map_texts(
     df: DataFrame, columns: list[str], schema: str, rows: Callable[..., Iterable[tuple]], step: int = 512,
 ) -> DataFrame:

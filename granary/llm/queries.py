@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, piece_counts, token_files
+from granary.llm import byte_bpe, chat, piece_counts, quality_rules, token_files
 from granary.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,28 @@ def op2_byte_bpe(spark, folder):
 def op3_piece_counts(spark, folder):
     """Number of pieces of the best unigram path of every document, and its score."""
     return piece_counts.count_pieces(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op4_quality_rules(spark, folder):
+    """Base measures of all documents, whether they fail the base rules, and whether the cascade keeps them."""
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
+@query
+def op8_chat(spark, folder):
+    """All conversations and one made of control strings, formatted and read back from the formatted strings."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(
+        [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], rows.schema)
+    made = chat.format_chats(rows.unionByName(tricky))
+    read = made.select("conv_id", chat.read_chat(F.col("formatted")).alias("turns"),
+                       chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+SQL |= {"op4_quality_rules": quality_rules.SQL, "op8_chat": chat.SQL}
