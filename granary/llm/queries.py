@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat, piece_counts, quality_rules, token_files
+from granary.llm import byte_bpe, chat, licenses, piece_counts, quality_rules, token_files, urls
 from granary.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,4 +79,17 @@ def op8_chat(spark, folder):
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-SQL |= {"op4_quality_rules": quality_rules.SQL, "op8_chat": chat.SQL}
+@query
+def op7_licenses(spark, folder):
+    """Licence phrases and templates found in all documents."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op10_urls(spark, folder):
+    """Rule and verdict of every page's url."""
+    weights = urls.train(urls.labelled_urls(spark))
+    return urls.judge(table(spark, folder, "pages"), weights)
+
+
+SQL |= {"op7_licenses": licenses.sql(), "op4_quality_rules": quality_rules.SQL, "op8_chat": chat.SQL}
