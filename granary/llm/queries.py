@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat, licenses, piece_counts, quality_rules, token_files, urls
+from granary.llm import byte_bpe, chat, licenses, near_dups, piece_counts, quality_rules, token_files, urls
 from granary.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,12 @@ def op8_chat(spark, folder):
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query
+def op6_near_dups(spark, folder):
+    """Classes of documents linked by 80 % of their two-word shingles."""
+    return near_dups.near_duplicates(table(spark, folder, "documents"), k=2)
+
+
 @query
 def op7_licenses(spark, folder):
     """Licence phrases and templates found in all documents."""
