@@ -54,6 +54,30 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def with_columns(
+    df: DataFrame, inputs: list[str], schema: str, rows: Callable[..., Iterable[tuple]], keep: list[str] | None = None,
+    step: int = 512,
+) -> DataFrame:
+    """The columns of df in keep (all by default) and behind them those of schema; no shuffle, no other order of rows.
+
+    rows(list, list, ...) gets the inputs of step rows at a time and gives one tuple for each.
+    """
+    kept = df.columns if keep is None else keep
+    names = list(dict.fromkeys([*kept, *inputs]))
+    out = arrow_schema(df, schema)
+    places = [names.index(c) for c in inputs]
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                made = to_batch(list(rows(*[part.columns[k].to_pylist() for k in places])), out)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made.columns], [*kept, *out.names])
+
+    return df.select(*[f"`{c}`" for c in names]).mapInArrow(run, ", ".join([*kinds, schema]))
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat, licenses, near_dups, piece_counts, quality_rules, token_files, urls
+from granary.llm import byte_bpe, chat, decontaminate, licenses, near_dups, ordinal, piece_counts, quality_rules, token_files, urls
 from granary.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,17 @@ def op8_chat(spark, folder):
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query
+def op5_decontaminate(spark, folder):
+    """Words of all documents inside benchmark windows, and the items these belong to."""
+    found = decontaminate.contaminated(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", F.col("__n_words").alias("n_words"), decontaminate.n_hit(F.col("__spans")).alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        (F.size("__spans") > 0).alias("contaminated"))
+
+
 @query
 def op6_near_dups(spark, folder):
     """Classes of documents linked by 80 % of their two-word shingles."""
@@ -91,6 +102,15 @@ def op7_licenses(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op9_ordinal(spark, folder):
+    """Expected grade of all documents, the probability that they are good, and whether that is enough."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = ordinal.fit(docs, ordinal.ratings(table(spark, folder, "labels")))
+    return ordinal.rate(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.col("__grade").alias("grade"), F.col("__tail").alias("p_good"), ordinal.keeps(F.col("__tail")).alias("kept"))
+
+
 @query
 def op10_urls(spark, folder):
     """Rule and verdict of every page's url."""
@@ -98,4 +118,4 @@ def op10_urls(spark, folder):
     return urls.judge(table(spark, folder, "pages"), weights)
 
 
-SQL |= {"op7_licenses": licenses.sql(), "op4_quality_rules": quality_rules.SQL, "op8_chat": chat.SQL}
+SQL |= {"op5_decontaminate": decontaminate.SQL, "op7_licenses": licenses.sql(), "op4_quality_rules": quality_rules.SQL, "op8_chat": chat.SQL}
