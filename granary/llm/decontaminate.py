@@ -175,8 +175,9 @@ def _pass(docs: DataFrame, index: dict[Shingle, list[Probe]], text_column: str,
         for text, old, named in zip(texts, spans, items):
             words = alnum_words(text)
             found, more = search(words, index, sets)
+            old = [(s["start"], s["stop"]) for s in old]
             if found:
-                old = joined([(s["start"], s["stop"]) for s in old] + found)
+                old = joined(old + found)
                 named = sorted({*named, *more})
             yield len(words), old, named
 

@@ -39,7 +39,7 @@ GOOD_WORDS = ("news", "docs", "wiki", "library", "museum", "university", "weathe
 ENDINGS = ("example.com", "example.org", "example.net")
 PATHS = ("/", "/en/1234", "/fr/77.html", "/de/5210/", "/es/9?page=2", "")
 #: Buckets of the hashed n-grams, lengths of the n-grams, steps and rate of the training, weight decay.
-BUCKETS, GRAMS, STEPS, RATE, DECAY = 4096, (3, 4, 5), 25, 4.0, 1e-4
+BUCKETS, GRAMS, STEPS, RATE, DECAY = 4096, (3, 4, 5), 40, 4.0, 1e-4
 #: A url without a rule is blocked from this probability on.
 BLOCK = 0.5
 
