@@ -41,6 +41,10 @@ class BoostParams:
     quantiles: Sequence[float] = K.QUANTILES
     rewrite_every: int = 10
 
+    def __post_init__(self):
+        if not 2 <= self.bins <= 256:
+            raise ValueError("bins must be between 2 and 256: a bin is stored in one byte")
+
     @property
     def nodes(self) -> int:
         """Heap slots of a tree: node i has children 2i and 2i+1, the root is 1."""
@@ -74,16 +78,23 @@ class BoostModel:
         return replace(self, key_values=[self.key_values[i] for i in rows], start=self.start[rows],
                        feature=self.feature[rows], threshold=self.threshold[rows], value=self.value[rows])
 
+    def stump(self) -> BoostModel:
+        """The model before its first tree that splits: every row gets its key's start value."""
+        return replace(self, feature=np.full_like(self.feature[:, :, :1], -1), threshold=self.threshold[:, :, :1] * 0,
+                       value=self.value[:, :, :1] * 0)
+
     def training_losses(self, model: int = 0) -> dict[tuple[str, float], list[float]]:
         """Mean pinball loss after each tree: on the next tree's sample, at the end on all rows."""
-        return {slot: [round_[(model, s)] for round_ in self.losses] for s, slot in enumerate(self.slots)}
+        return {slot: [round_[(model, s)] for round_ in self.losses if (model, s) in round_] for s, slot in enumerate(self.slots)}
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The model as rows: one per used node, tree -1 holding the start value."""
+        """The model as rows: one per used node; tree -1 holds the start value, -2 the learning rate, -3 the features in order."""
         rows = []
         for m, s in itertools.product(range(len(self.key_values)), range(len(self.slots))):
             head = (*self.key_values[m], *self.slots[s])
             rows.append((*head, -1, 1, None, None, float(self.start[m, s])))
+            rows.append((*head, -2, 1, None, None, float(self.learning_rate)))
+            rows += [(*head, -3, i, name, None, None) for i, name in enumerate(self.features)]
             for t in range(self.n_trees):
                 for node in _used_nodes(self.feature[m, s, t]):
                     f = int(self.feature[m, s, t, node])
@@ -96,10 +107,13 @@ class BoostModel:
                   "threshold double, value double")
 
     @staticmethod
-    def from_table(table: DataFrame, keys: Sequence[str], features: Sequence[str],
-                   learning_rate: float) -> BoostModel:
+    def from_table(table: DataFrame, keys: Sequence[str]) -> BoostModel:
         """Read back a model table; its size is fixed by trees x nodes x models, not by the data."""
-        rows = table.toPandas()
+        everything = table.toPandas()
+        rows = everything[everything["tree"] >= -1]
+        order = everything[everything["tree"] == -3][["node", "feature"]].drop_duplicates().sort_values("node")
+        features = list(order["feature"])
+        learning_rate = float(everything.loc[everything["tree"] == -2, "value"].iloc[0])
         key_values = sorted(set(rows[list(keys)].itertuples(index=False, name=None)))
         slots = sorted(set(rows[["horizon", "quantile"]].itertuples(index=False, name=None)))
         shape = (len(key_values), len(slots), int(rows["tree"].max()) + 1, 2 * _power(int(rows["node"].max())))
@@ -389,10 +403,9 @@ def _best_splits(matrix: DataFrame, state: _Pass, level: int) -> list:
     cells = matrix.mapInArrow(
         state.histograms(level),
         "model int, slot int, node int, feature int, bin int, g double, n bigint")
-    # Each task has already summed its rows, so one exchange on the node serves the sum, the running sums
-    # and the choice. A node's histograms have at most features x bins rows per task, whatever the data.
-    cells = cells.repartition("model", "slot", "node").groupBy("model", "slot", "node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("n").alias("n"))
+    # First the sums, dealt by all five keys, so a root's cells of many tasks spread over as many partitions as it has
+    # cells; only then one node's features x bins sums meet for the running sums and the choice.
+    cells = cells.groupBy("model", "slot", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     line = Window.partitionBy("model", "slot", "node", "feature")
     left = line.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sides = cells.select(

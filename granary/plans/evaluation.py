@@ -13,18 +13,21 @@ from granary.operators.joins import side_by_side
 from granary.operators.splits import chronological_cuts
 from granary.plans.boosting import BoostModel, BoostParams, predict, train
 
-MIN_ROWS = 200
-
 
 def top_by_rows(df: DataFrame, n: int, key: str = "commodity", counted: str = "modal_price") -> DataFrame:
     return df.groupBy(key).agg(F.count(counted).alias("n_rows")).orderBy(F.desc("n_rows"), key).limit(n)
 
 
 def evaluation_rows(gold: DataFrame, features: Sequence[str] = K.FEATURES, horizons: Sequence[int] = K.HORIZONS,
-                    top_n: int = 10, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Complete rows of the largest commodities, each with its part of the 70/15/15 split per horizon."""
+                    top_n: int | None = None, min_rows: int = 1) -> DataFrame:
+    """Complete rows, each with its part of the 70/15/15 split per horizon.
+
+    All commodities by default; `top_n` keeps the largest, and a horizon with fewer rows than `min_rows` gets no split.
+    """
     present = [f for f in features if f in gold.columns]
-    rows = gold.dropna(subset=present).join(top_by_rows(gold, top_n).select("commodity"), "commodity", "left_semi")
+    rows = gold.dropna(subset=present)
+    if top_n is not None:
+        rows = rows.join(top_by_rows(gold, top_n).select("commodity"), "commodity", "left_semi")
     out = rows
     for h in horizons:
         target = f"target_price_{h}d"
@@ -89,6 +92,15 @@ def evaluate(rows: DataFrame, model: BoostModel, horizons: Sequence[int] = K.HOR
     return metrics.withColumnRenamed("n", "n_test").join(counts, ["commodity", "horizon_d"])
 
 
+def status(gold: DataFrame, metrics: DataFrame, horizons: Sequence[int] = K.HORIZONS) -> DataFrame:
+    """Every commodity and horizon of the gold rows, and whether it was evaluated or had no rows to test on."""
+    wanted = gold.groupBy("commodity").agg(F.count("*").alias("n_rows")).withColumn(
+        "horizon_d", F.explode(F.array(*map(F.lit, horizons))))
+    tested = metrics.groupBy("commodity", "horizon_d").agg(F.max("n_test").alias("n_test"))
+    return wanted.join(tested, ["commodity", "horizon_d"], "left").withColumn(
+        "status", F.when(F.col("n_test") > 0, "evaluated").otherwise("no test rows"))
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """Model and baseline side by side with lifts, interval coverage and its status."""
     wide = side_by_side(metrics, ["commodity", "horizon_d"], "method",

@@ -76,6 +76,11 @@ def merge_snapshot(current: DataFrame | None, rows: DataFrame, keys: Sequence[st
     return latest_per_key(both, keys, at, [F.desc_nulls_last(c) for c in both.columns if c not in (*keys, at)])
 
 
+def last_version(path: str, query: StreamingQuery) -> str:
+    """Folder of the newest version a finished refresh has written."""
+    return f"{path}/v{max(p['batchId'] for p in query.recentProgress)}"
+
+
 def refresh_snapshot(rows: DataFrame, path: str, checkpoint: str, once: bool = True,
                      keys: Sequence[str] = ("mandi_id", "commodity"), at: str = "date") -> StreamingQuery:
     """Keep a versioned snapshot up to date. A batch writes the version with its own number from the one

@@ -3,7 +3,7 @@ from conftest import SF
 
 import __spark_entry__ as entry
 
-PYTHON = {"m4_boost", "c14_evaluation"}
+PYTHON = {"c14_evaluation"}
 PLANS = ("c1_clean_prices", "c4_warehouses", "w3_rolling", "w8_locf", "w10_zscore", "w13_split", "j3_macro_lag", "j6_cascade",
          "j7_fallback", "j12_knn", "j14_neighbour_avg", "j17_resolve_geo", "a12_percentiles", "a14_metrics", "a15_confusion",
          "q3_summary", "q10_decision_shares", "c11_gold", "c12_risk", "c15_scoring", "t2_rate_audit")

@@ -23,7 +23,7 @@ def lake(spark, tmp_path_factory):
         df.write.option("header", True).csv(lake.path("raw", name))
     V.raw_weather(spark, SF).write.parquet(lake.path("raw", "weather"))
     stores = V.raw_warehouses(spark, SF)
-    for state in ("Goa", "Nation_3"):
+    for state in ("Goa", "Nation_3", "Jammu-and-Kashmir"):
         stores.drop("State").coalesce(1).toPandas().to_csv(_folder(lake, "warehouses") / f"register-{state}.csv", index=False)
     history = V.raw_prices(spark, SF).limit(20).selectExpr("state_name as State", "market_center as Market",
                                                            "commodity as Commodity", "modal_price as prices", "report_date as Date")
@@ -43,17 +43,19 @@ def test_jobs_in_order(spark, lake, monkeypatch):
     quick = boosting.BoostParams(n_estimators=1, max_depth=1)
     monkeypatch.setattr(boosting.train, "__defaults__", (*boosting.train.__defaults__[:-1], quick))
     monkeypatch.setattr(evaluation.train_on_split, "__defaults__", (*evaluation.train_on_split.__defaults__[:-1], quick))
-    monkeypatch.setattr(evaluation.evaluation_rows, "__defaults__", (*evaluation.evaluation_rows.__defaults__[:-1], 20))
     for name in JOBS:
         JOBS[name](lake)
     gold = lake.read("gold", "price_features")
     assert gold.count() == gold.select("mandi_id", "commodity", "date").distinct().count() > 1000
     assert lake.read("serving", "snapshot").count() == gold.select("mandi_id", "commodity").distinct().count()
-    assert lake.read("gold", "scores").where("decision is null").count() == 0
+    assert lake.read("gold", "scores").where("decision is null or forecast_uncertainty is null").count() == 0
+    assert "JAMMU-AND-KASHMIR" in {r.state for r in lake.read("silver", "warehouses").select("state").distinct().collect()}
     assert lake.read("serving", "model").select("horizon").distinct().count() == 3
     decisions = lake.read("serving", "decisions")
     assert decisions.count() == V.requests(spark, SF).count()
     logged = spark.read.json(lake.path("logs", "predictions"))
     assert logged.count() == decisions.where(F.col("status") == "ok").count()
+    seen = spark.read.option("header", True).csv(lake.path("serving", "evaluation_status"))
+    assert seen.select("commodity").distinct().count() == gold.select("commodity").distinct().count()
     report = spark.read.option("header", True).csv(lake.path("serving", "evaluation_report"))
     assert {"rmse_lift_pct", "calibration"} <= set(report.columns)
