@@ -14,6 +14,7 @@ from granary.functions import constants as K
 from granary.operators import dedup, geo, joins, metrics, quantiles, shape, splits, windows
 from granary.plans import boosting, clean, evaluation, features, forecast, reports, risk, scoring
 from granary.session import durable, scratch_path
+from granary.sources import sinks, tables
 from granary.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,19 @@ def cols(plain: str, **digits: str) -> str:
 
 # --- shared inputs ------------------------------------------------------------------------------
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, make: Query) -> DataFrame:
+    """A table the lake keeps between its jobs: built by the first query of a session that reads it, then read back."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        make(spark, d).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def series(spark, d):
     return windows.price_features(V.panel(spark, d))
 
@@ -101,7 +115,7 @@ def risk_table(spark, d):
 
 
 def scores(spark, d):
-    return durable(features.score_table(risk_table(spark, d)), "scores")
+    return stored(spark, d, "scores", lambda s, path: features.score_table(risk_table(s, path)))
 
 
 def snapshot(spark, d):
@@ -997,7 +1011,7 @@ FEW_TREES = boosting.BoostParams(n_estimators=4, learning_rate=0.3, rewrite_ever
 
 @check("m4_boost", "SELECT commodity, count(*) AS n, count(*) AS n_ordered, true AS better_than_start FROM panel GROUP BY 1")
 def _(spark, d):
-    df = durable(gold(spark, d), "gold")
+    df = stored(spark, d, "gold", gold)
     targets = {f"{h}d": f"target_price_{h}d" for h in K.HORIZONS}
     model = boosting.train(df, targets, params=FEW_TREES)
     start = boosting.predict(df, model.stump())
@@ -1016,11 +1030,49 @@ def _(spark, d):
 
 @check("c14_evaluation")
 def _(spark, d):
-    rows = durable(evaluation.evaluation_rows(gold(spark, d)), "rows")
+    rows = durable(evaluation.evaluation_rows(stored(spark, d, "gold", gold)), "rows")
     model = evaluation.train_on_split(rows, params=FEW_TREES)
     return evaluation.report(durable(evaluation.evaluate(rows, model), "metrics"))
 
 
+# --- sources and sinks --------------------------------------------------------------------------
+
+@check("s1_csv_text", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def _(spark, d):
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(V.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), path)
+    return tables.read_csv_text(spark, path)
+
+
+@check("s9_optional_table", "SELECT mandi_id, CAST(NULL AS VARCHAR) AS agro_climatic_zone FROM locations")
+def _(spark, d):
+    zones = tables.read_optional(spark, scratch_path(spark, "absent"), "state string, zone_name string")
+    return joins.join_zone(V.locations(spark, d), zones).select("mandi_id", "agro_climatic_zone")
+
+
+@check("s10_by_state", "SELECT mandi_id, district, replace(replace(state, ' ', '_'), '/', '-') AS state FROM locations")
+def _(spark, d):
+    path = scratch_path(spark, "by-state")
+    sinks.write_by_state(V.locations(spark, d), path)
+    return tables.read_dataset(spark, path, ["mandi_id", "district", "state"])
+
+
+@check("s11_flat", "SELECT " + cols(KEY, r6="modal_price") + " FROM panel")
+def _(spark, d):
+    path = scratch_path(spark, "flat")
+    sinks.write_flat(V.panel(spark, d), path, by=["date", "mandi_id", "commodity"])
+    return to(tables.read_dataset(spark, path), KEY, r6="modal_price")
+
+
+@check("s14_daily_log", "SELECT CAST(ts AS DATE) AS log_date, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1, 2")
+def _(spark, d):
+    path = scratch_path(spark, "log")
+    events = V.table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    sinks.write_prediction_log(events, path, "ts")
+    log = spark.read.schema("event_id long, event_type string, ts timestamp, log_date date").json(path)
+    return log.groupBy("log_date", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -47,7 +47,9 @@ class Lake:
         sinks.write_partitioned(clean.clean_prices(self.raw("prices")), self.path("silver", "prices"))
 
     def price_history(self) -> None:
-        raw = read_history_csvs(self.spark, self.path("raw", "prices_manual"))
+        raw, unreadable = read_history_csvs(self.spark, self.path("raw", "prices_manual"))
+        skipped = self.spark.createDataFrame([(p,) for p in unreadable], "path string")
+        sinks.write_csv(skipped, self.path("logs", "unreadable_price_files"))
         sinks.write_csv(clean.price_history(raw, self.read("silver", "locations")), self.path("raw", "prices_history"))
 
     def locations(self) -> None:

@@ -41,25 +41,31 @@ def read_csv_by_name(spark: SparkSession, folder: str, pattern: str, into: str,
     return union_all(frames)
 
 
-def read_history_csvs(spark: SparkSession, folder: str) -> DataFrame:
-    """Hand-collected CSV files whose headers differ; an unreadable file is skipped."""
-    frames = [rename_by_synonym(f, K.HISTORY_COLUMNS) for f in _frames_by_header(spark, folder)]
-    return union_all(frames)
+def read_history_csvs(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """Hand-collected CSV files whose headers differ, and the paths of files that cannot be read, which are left out."""
+    unreadable: list[str] = []
+    frames = [rename_by_synonym(f, K.HISTORY_COLUMNS) for f in _frames_by_header(spark, folder, unreadable)]
+    return union_all(frames), unreadable
+
 
+def _frames_by_header(spark: SparkSession, folder: str, unreadable: list[str] | None = None) -> list[DataFrame]:
+    """One scan per distinct header; only header lines and file names reach the driver.
 
-def _frames_by_header(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """One scan per distinct header; only header lines and file names reach the driver."""
+    A file that cannot be read fails the job, unless a list is given to take its path.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,CSV}")
         .option("recursiveFileLookup", True).load(folder).select("path").orderBy("path")
     )
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE") \
-        .option("ignoreCorruptFiles", True)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     by_header: dict[tuple[str, ...], list[str]] = {}
     for row in files.toLocalIterator():
         try:
             header = tuple(reader.csv(row["path"]).columns)
         except (AnalysisException, Py4JJavaError):
+            if unreadable is None:
+                raise
+            unreadable.append(row["path"])
             continue
         if header:
             by_header.setdefault(header, []).append(row["path"])

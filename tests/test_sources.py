@@ -22,7 +22,8 @@ def test_history_files_skip_the_unreadable(spark, tmp_path):
     (tmp_path / "a.csv").write_text("State,Market,Modal Price (Rs/Quintal)\nGoa,X,10\n")
     (tmp_path / "b.CSV").write_text("market_name,prices,extra\nY,20,z\n")
     (tmp_path / "c.csv").write_text("")
-    got = tables.read_history_csvs(spark, str(tmp_path))
+    got, unreadable = tables.read_history_csvs(spark, str(tmp_path))
+    assert unreadable == []
     assert sorted((r["market_center"], r["modal_price"], r["state_name"]) for r in got.collect()) == [("X", "10", "Goa"), ("Y", "20", None)]
 
 
