@@ -935,7 +935,7 @@ LEFT JOIN state_avg v ON v.state = s.state AND v.commodity = s.commodity AND v.d
 LEFT JOIN near_avg n ON n.mandi_id = s.mandi_id AND n.commodity = s.commodity AND n.date = s.date
 LEFT JOIN zones z ON z.state = s.state)""")
 def _(spark, d):
-    return to(gold(spark, d), GOLD_PLAIN, **GOLD)
+    return to(stored(spark, d, "gold", gold), GOLD_PLAIN, **GOLD)
 
 
 @check("c12_risk", "SELECT " + cols(
@@ -1035,6 +1035,55 @@ def _(spark, d):
     return evaluation.report(durable(evaluation.evaluate(rows, model), "metrics"))
 
 
+# --- small functions ----------------------------------------------------------------------------
+
+@check("f3_titles", """
+SELECT p_partkey, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(trim(p_name), ' ')], ' ') AS title,
+  split_part(p_name, ' ', 1) AS first_word FROM part""")
+def _(spark, d):
+    return V.table(spark, d, "part").select("p_partkey", C.title("p_name").alias("title"), C.first_word("p_name", " ").alias("first_word"))
+
+
+@check("f19_next_month", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) AS next_month FROM orders")
+def _(spark, d):
+    return V.table(spark, d, "orders").select("o_orderkey", C.next_month_start("o_orderdate").alias("next_month"))
+
+
+@check("f22_date_chunks", """
+SELECT o_orderpriority, CAST(start AS DATE) AS start, least(CAST(start AS DATE) + 89, hi) AS stop FROM (
+  SELECT o_orderpriority, hi, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 90 DAY)) AS start
+  FROM (SELECT o_orderpriority, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders GROUP BY 1))""")
+def _(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    spans = V.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    return spans.select("o_orderpriority", F.explode(C.date_chunks("lo", "hi")).alias("c")).select(
+        "o_orderpriority", "c.start", F.col("c.end").alias("stop"))
+
+
+@check("m2_gradient", """
+SELECT l_returnflag, l_linestatus, count(*) FILTER (l_extendedprice > l_quantity * 1500) AS up,
+  round(sum(CASE WHEN l_extendedprice > l_quantity * 1500 THEN 0.9e0 ELSE -0.1e0 END), 4) AS total FROM lineitem GROUP BY 1, 2""")
+def _(spark, d):
+    rows = V.table(spark, d, "lineitem").withColumn("guess", F.col("l_quantity") * 1500).withColumn(
+        "step", C.pinball_gradient("l_extendedprice", "guess", 0.9))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count_if(F.col("step") > 0).alias("up"), F.round(F.sum("step"), 4).alias("total"))
+
+
+@check("a16_lift", """
+SELECT o_orderpriority, round((naive - model) / greatest(naive, 1e-9) * 100, 6) AS lift_pct,
+  CASE WHEN share BETWEEN 75 AND 85 THEN 'OK' ELSE 'CALIBRATION NEEDED' END AS calibration FROM (
+  SELECT o_orderpriority, avg(CAST(o_totalprice AS DOUBLE)) AS naive, median(CAST(o_totalprice AS DOUBLE)) AS model,
+    round(avg(CAST(o_totalprice < 240000 AS INTEGER)) * 100, 1) AS share FROM orders GROUP BY 1)""")
+def _(spark, d):
+    price = F.col("o_totalprice").cast("double")
+    made = V.table(spark, d, "orders").groupBy("o_orderpriority").agg(
+        F.avg(price).alias("naive"), F.median(price).alias("model"),
+        F.round(F.avg((price < 240000).cast("int")) * 100, 1).alias("share"))
+    return made.select("o_orderpriority", F.round(metrics.lift_pct(F.col("naive"), F.col("model")), 6).alias("lift_pct"),
+                       metrics.calibration_status("share").alias("calibration"))
+
+
 # --- sources and sinks --------------------------------------------------------------------------
 
 @check("s1_csv_text", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")

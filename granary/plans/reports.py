@@ -32,7 +32,11 @@ def _approve_pct() -> Column:
     return F.round(share_pct(F.col("decision") == "APPROVE"), 1).alias("approve_pct")
 
 
-def clamp_limit(limit, default: int = 1000, most: int = 10_000) -> int:
+#: The largest page of scores and the longest lists of found states and markets; a report asks for a page, not for all.
+PAGE_LIMIT, STATE_LIMIT, MARKET_LIMIT = 10_000, 30, 50
+
+
+def clamp_limit(limit, default: int = 1000, most: int = PAGE_LIMIT) -> int:
     try:
         asked = int(limit)
     except (TypeError, ValueError):
@@ -130,7 +134,7 @@ def search_states(locations: DataFrame, term: str, limit: int = 10) -> DataFrame
     if not term.strip():
         return locations.select("state").where(F.lit(False))
     return locations.select("state").where(C.contains_text("state", term)).distinct().orderBy("state").limit(
-        min(limit, 30))
+        min(limit, STATE_LIMIT))
 
 
 def search_markets(locations: DataFrame, term: str, state: str | None = None, limit: int = 15) -> DataFrame:
@@ -139,7 +143,7 @@ def search_markets(locations: DataFrame, term: str, state: str | None = None, li
     rows = locations.where(hit if term.strip() else F.lit(False))
     if state:
         rows = rows.where(C.clean_text("state") == state.strip().upper())
-    return rows.orderBy("mandi_id").limit(min(limit, 50)).select(
+    return rows.orderBy("mandi_id").limit(min(limit, MARKET_LIMIT)).select(
         "mandi_id", "mandi_name", "district", "state", F.round("latitude", 4).alias("latitude"),
         F.round("longitude", 4).alias("longitude"))
 
