@@ -54,12 +54,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, the number of its token ids, and digests of the ids and of the bytes they decode to."""
     ranks = os.path.join(os.path.dirname(public_tokenizers.__file__), "byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN)
-    listed = encoded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    decoded = byte_bpe.decode_ids(listed, ranks, public_tokenizers.PATTERN, keep=["n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, decode=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

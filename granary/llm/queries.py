@@ -43,12 +43,11 @@ def op1_token_files(spark, folder):
 def op2_byte_bpe(spark, folder):
     """Ids of all documents and the bytes they decode to, as digests."""
     ranks, pattern = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_texts(table(spark, folder, "documents"), ranks, pattern)
-    listed = encoded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    decoded = byte_bpe.decode_ids(listed, ranks, pattern, keep=["n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_texts(table(spark, folder, "documents"), ranks, pattern, decode=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

@@ -73,6 +73,8 @@ def test_byte_bpe_is_the_library_s(spark, library):
     want = sorted(((i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in cases.texts()), key=cases.key)
     got = sorted(((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in decoded.collect()), key=cases.key)
     assert got == want and decoded.columns == ["doc_id", "ids", "source", "decoded"]
+    both = byte_bpe.encode_texts(cases.documents(spark), cases.RANKS, public_tokenizers.PATTERN, decode=True)
+    assert sorted(((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both.collect()), key=cases.key) == want
     assert byte_bpe.encode_texts(cases.empty(spark), cases.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
