@@ -29,14 +29,20 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Words of hosts and paths that the labelled table is made of, and the endings that both kinds share.
-BAD_WORDS = ("casino", "casino-win", "free-bets", "bets", "poker", "slots", "cheap-pills", "pills", "viagra", "payday-loans",
-             "win-cash", "adult-chat", "xxx", "crack-keygen", "free-spins", "lottery")
+#: Words that the labelled table's host names are made of.
+BAD_WORDS = ("casino", "casino-bonus", "online-casino", "bets", "betting", "poker", "slots", "cheap-meds", "pills", "viagra",
+             "payday-loans", "win-cash", "adult-chat", "xxx", "crack-keygen", "free-spins", "lottery")
 GOOD_WORDS = ("news", "docs", "wiki", "library", "museum", "university", "weather", "journal", "garden", "recipes", "history",
-              "travel", "science", "school", "thering", "ontion", "einheit", "ciones", "reauxment", "blog", "theory", "nations",
-              "another", "bakery", "concert", "studio", "hospital", "parliament", "mountain", "river", "heritage", "reunion",
-              "shoes", "threshold", "tennis", "english", "there", "others", "tables", "stories", "mention", "renting")
-ENDINGS = ("example.com", "example.org", "example.net")
+              "travel", "science", "school", "einheit", "blog", "theory", "nations", "another", "bakery", "concert", "studio",
+              "hospital", "parliament", "mountain", "river", "heritage", "reunion", "shoes", "threshold", "tennis", "english",
+              "there", "others", "tables", "stories", "mention", "renting", "cheese", "farm", "free-software", "winter",
+              "catalogue", "biblioteca", "zeitung", "maison")
+#: What stands behind a word: a public suffix, so that the word is the registered name, or another's domain. Both kinds
+#: of words get all of them.
+ENDINGS = ("com", "org", "net", "info", "de", "fr", "es", "it", "co.uk", "io", "eu", "com.br", "webspace.com", "hosting.org",
+           "homepage.net", "pages.io", "cloudsite.eu", "myserver.de", "portal.fr", "users.provider.co.uk", "ciudad.es",
+           "sites.info")
+FRONTS = ("", "www.", "m.", "blog.")
 PATHS = ("/", "/en/1234", "/fr/77.html", "/de/5210/", "/es/9?page=2", "")
 #: Buckets of the hashed n-grams, lengths of the n-grams, steps and rate of the training, weight decay.
 BUCKETS, GRAMS, STEPS, RATE, DECAY = 4096, (3, 4, 5), 40, 4.0, 1e-4
@@ -64,25 +70,24 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[C
 
 
 def features(host: Column, path: Column) -> Column:
-    """Distinct buckets of the character n-grams of the host, without its last two labels, and of the path."""
+    """Distinct buckets of the character n-grams of the whole host and of the path, runs of digits in it as 0."""
 
     def grams(text: Column, mark: str) -> Column:
         padded = F.concat(F.lit(mark), text, F.lit("$"))
         return let(padded, lambda s: F.flatten(F.array(*[
             F.transform(
                 F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i, n=n: F.pmod(F.xxhash64(F.substr(s, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+                lambda i: F.pmod(F.xxhash64(F.substr(s, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
             for n in GRAMS])))
 
-    own = F.regexp_replace(host, r"\.?[^.]*\.[^.]*$", "")
-    return F.array_distinct(F.concat(grams(own, "^"), grams(F.regexp_replace(path, "[0-9]+", "0"), "/")))
+    return F.array_distinct(F.concat(grams(host, "^"), grams(F.regexp_replace(path, "[0-9]+", "0"), "/")))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, bad): each word as a host name, plain and with www, under each ending and path."""
-    rows = [(f"https://{front}{word}.{ENDINGS[(k + j) % len(ENDINGS)]}{PATHS[(k * 2 + j) % len(PATHS)]}", bad)
+    """The small labelled table (url, bad): each word before each ending, plain or behind another label, under all paths."""
+    rows = [(f"https://{FRONTS[(k + j) % len(FRONTS)]}{word}.{ending}{PATHS[(k + j // 2) % len(PATHS)]}", bad)
             for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS)) for k, word in enumerate(words)
-            for j, front in enumerate(("", "www.", "m.", "blog."))]
+            for j, ending in enumerate(ENDINGS)]
     return spark.createDataFrame(rows, "url string, bad int")
 
 

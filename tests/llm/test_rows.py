@@ -147,6 +147,28 @@ def test_url_classifier_on_hosts_it_has_not_seen(spark, weights):
     assert not any(got[k] for k, (_, wanted) in enumerate(rows) if not wanted)
 
 
+def test_url_classifier_reads_the_registered_name(spark, weights):
+    bad = ["http://casino-win.org", "https://www.cheap-pills.net/de/1", "http://best-casino.de/", "http://m.poker-slots.co.uk/",
+           "https://viagra-shop.ru/en/3", "http://a.b.free-bets.org/x", "http://x.casino-win.site.org/1"]
+    good = ["http://bergmuseum.org", "https://www.theatre.net/de/1", "http://ouvrages.fr/", "http://m.weathers.co.uk/",
+            "https://sciences.ru/en/3", "http://a.b.schools.org/x", "http://x.ontario.site.org/1", "http://ststion.org/de/5"]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df, weights).collect()}
+    assert all(r.rule is None for r in got.values())
+    assert [got[k].verdict for k in range(len(got))] == ["block"] * len(bad) + ["allow"] * len(good)
+
+
+def test_url_features_are_the_grams_of_host_and_path(spark):
+    from pyspark.sql import functions as F
+
+    texts = ("^www.casino-win.org$", "//de/0$")
+    grams = [(t[i : i + n],) for t in texts for n in urls.GRAMS for i in range(len(t) - n + 1)]
+    want = {r[0] for r in spark.createDataFrame(grams, "g string").select(F.expr(f"cast(pmod(xxhash64(g), {urls.BUCKETS}) as int)")).collect()}
+    df = spark.createDataFrame([("www.casino-win.org", "/de/77")], "host string, path string")
+    got = df.select(urls.features(F.col("host"), F.col("path"))).first()[0]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_urls_of_nothing(spark, weights):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), weights).count() == 0
     assert urls.train(spark.createDataFrame([], "url string, bad int")) == [0.0] * (urls.BUCKETS + 1)
