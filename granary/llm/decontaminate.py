@@ -45,7 +45,7 @@ class Probe(NamedTuple):
 def windows(benchmark: DataFrame, size: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """Distinct windows of the items: (window, items), window as its words with spaces between, items as sorted strings.
 
-    Null and wordless texts have none; items without id are left out, as no result could name them.
+    Null and wordless texts have none. Windows of items without id are windows like others, but no item is named for them.
     """
 
     def rows(ids, texts):
@@ -54,8 +54,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW, id_column: str = "item_id"
             for at in range(max(1, len(words) - size + 1) if words else 0):
                 yield b" ".join(words[at : at + size]), i
 
-    source = benchmark.filter(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    source = benchmark.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text"))
     return (map_texts(source, ["item", "text"], "window binary, item string", rows)
             .groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")))
 

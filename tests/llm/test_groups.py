@@ -147,6 +147,20 @@ def test_contamination(spark, monkeypatch, block):
     assert sorted(flat, key=cases.key) == hits(rows, items)
 
 
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_contamination_by_items_without_id(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    words = cases.prose(1).split(" ")
+    items = [(None, " ".join(words[20:50])), (2, " ".join(words[40:60])), (None, "two"), (None, None)]
+    rows = [(1, cases.prose(1)), (2, " ".join(words[18:36])), (2, "x two x"), (None, "two"), (4, " ".join(words[44:60])), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(cases.documents(spark, rows), bench).collect()
+    flat = [(r.doc_id, r["__n_words"], sum(s.stop - s.start for s in r["__spans"]), tuple(r["__items"])) for r in got]
+    want = hits(rows, items)
+    assert sorted(flat, key=cases.key) == want
+    assert [(h[0], h[3]) for h in want if h[2]] == [(None, ()), (1, ("2",)), (2, ()), (2, ()), (4, ("2",))]
+
+
 def test_contamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = cases.documents(spark)
