@@ -6,13 +6,15 @@ the rarest one, by the number of documents that hold it, counted over the whole
 shingle, the window's place follows from the shingle's offset; it must lie within the document, and then all its words
 are compared.
 
-The windows are the small side: they go to the tasks in blocks of bounded size, one after the other, each block over all
-documents. A document row carries its hits from block to block, so nothing is shuffled or grouped.
+The words of the windows go to the tasks in blocks, one after the other, each block over all documents. A document row
+carries its hits from block to block. Item ids stay in a table: windows of the same items form a class, a hit names only
+the class, and the items of the classes that were hit come by joins afterwards, once for each set of classes.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,15 +37,15 @@ Shingle = tuple[bytes, ...]
 
 
 class Probe(NamedTuple):
-    """A window behind its rarest shingle: where the shingle stands in it, its words, and its items."""
+    """A window behind its rarest shingle: where the shingle stands in it, its words, and its class, empty if it has no items."""
 
     offset: int
     words: tuple[bytes, ...]
-    items: tuple[str, ...]
+    kind: str
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """Distinct windows of the items: (window, items), window as its words with spaces between, items as sorted strings.
+    """Distinct (window, item) of the items, window as its words with spaces between, item as a string.
 
     Null and wordless texts have none. Windows of items without id are windows like others, but no item is named for them.
     """
@@ -55,8 +57,17 @@ def windows(benchmark: DataFrame, size: int = WINDOW, id_column: str = "item_id"
                 yield b" ".join(words[at : at + size]), i
 
     source = benchmark.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text"))
-    return (map_texts(source, ["item", "text"], "window binary, item string", rows)
-            .groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    return map_texts(source, ["item", "text"], "window binary, item string", rows).distinct()
+
+
+def classes(pairs: DataFrame) -> DataFrame:
+    """Distinct windows of pairs (window, item), each with its class: one string for windows of the same items, empty for none.
+
+    A class is the number of items and 128 bits of their hashes, so that no row or task holds the items of a window.
+    """
+    known = pairs.groupBy("window").agg(
+        F.count("item").alias("n"), *[F.bit_xor(F.when(F.col("item").isNotNull(), F.xxhash64(F.lit(seed), "item"))).alias(f"h{seed}") for seed in (1, 2)])
+    return known.select("window", F.when(F.col("n") > 0, F.concat_ws(":", "n", "h1", "h2")).otherwise("").alias("kind"))
 
 
 def shingles_of(words: tuple[bytes, ...]) -> Iterator[tuple[int, Shingle]]:
@@ -99,17 +110,17 @@ def count_documents(docs: DataFrame, wanted: list[Shingle], text_column: str) ->
     return out
 
 
-def probes(docs: DataFrame, block: list[tuple[bytes, list[str]]], text_column: str) -> dict[Shingle, list[Probe]]:
+def probes(docs: DataFrame, block: list[tuple[bytes, str]], text_column: str) -> dict[Shingle, list[Probe]]:
     """The block's windows by their rarest shingle; equally rare ones by their words."""
-    split = [(tuple(bytes(w).split(b" ")), tuple(items)) for w, items in block]
+    split = [(tuple(bytes(w).split(b" ")), sys.intern(kind)) for w, kind in block]
     wanted = sorted({s for words, _ in split for _, s in shingles_of(words)})
     counts = count_documents(docs, wanted, text_column)
     rank = {s: (counts.get(k, 0), s) for k, s in enumerate(wanted)}
     out: dict[Shingle, list[Probe]] = {}
-    for words, items in split:
+    for words, kind in split:
         at, shingle = min(shingles_of(words), key=lambda x: (rank[x[1]], x[0]))
         if rank[shingle][0]:  # in no document: neither is the window
-            out.setdefault(shingle, []).append(Probe(at, words, items))
+            out.setdefault(shingle, []).append(Probe(at, words, kind))
     return out
 
 
@@ -125,8 +136,8 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def search(words: list[bytes], index: dict[Shingle, list[Probe]], sets: dict[int, set[Shingle]]):
-    """Spans of the windows in a document's words, and the items of these windows."""
-    spans, items = [], set()
+    """Spans of the windows in a document's words, and the classes of these windows."""
+    spans, kinds = [], set()
     for k, known in sets.items():
         here = known.intersection(runs(words, k))
         if not here:
@@ -138,40 +149,62 @@ def search(words: list[bytes], index: dict[Shingle, list[Probe]], sets: dict[int
                     stop = start + len(probe.words)
                     if start >= 0 and stop <= len(words) and tuple(words[start:stop]) == probe.words:
                         spans.append((start, stop))
-                        items.update(probe.items)
-    return spans, items
+                        if probe.kind:
+                            kinds.add(probe.kind)
+    return spans, kinds
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text_column: str = "text", keep: list[str] | None = None,
+    named: bool = True,
 ) -> DataFrame:
-    """The columns of docs in keep (all by default) with __n_words, __spans (array of (start, stop), in words) and __items (array of item ids as sorted strings).
+    """The columns of docs in keep (all by default) with __n_words, __spans (array of (start, stop), in words) and, if named,
+    __items (array of item ids as sorted strings).
 
     Null and wordless texts have no words and no hits; repeated rows have the same hits. An empty benchmark hits nothing.
     """
-    table = durable(windows(benchmark, size), "windows")
+    pairs = durable(windows(benchmark, size), "windows")
+    table = durable(classes(pairs), "classes")
     total = table.count()
     blocks = max(1, math.ceil(total / BLOCK))
     numbered = table.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     out = docs.select("*", F.array().cast("array<struct<start:int,stop:int>>").alias("__spans"),
-                      F.array().cast("array<string>").alias("__items"))
+                      F.array().cast("array<string>").alias("__kinds"))
     kept = docs.columns if keep is None else keep
     for number in range(blocks):
-        rows = numbered.filter(F.col("block") == number).select("window", "items").collect() if total else []
+        rows = numbered.filter(F.col("block") == number).select("window", "kind").collect() if total else []
         index = probes(docs, [tuple(r) for r in rows], text_column)
         out = _pass(out, index, text_column, kept if number == blocks - 1 else list(dict.fromkeys([*kept, text_column])))
         if number % CHAIN == CHAIN - 1 and number < blocks - 1:
             out = durable(out, "hits")
-    return out
+    return with_items(durable(out, "hits"), pairs, table) if named else out.drop("__kinds")
+
+
+def with_items(found: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of found with __items in place of __kinds; only rows that name classes are shuffled, each set of classes once.
+
+    found, pairs and table are read more than once.
+    """
+    none = F.size("__kinds") == 0
+    named = found.filter(~none).withColumn("__set", F.sha2(F.array_join("__kinds", ","), 256))
+    sets = named.select("__set", "__kinds").distinct().select("__set", F.explode("__kinds").alias("kind"))
+    # one window stands for its class, so that the items of a class are read once
+    first = table.filter("kind <> ''").groupBy("kind").agg(F.min("window").alias("window"))
+    first = first.join(sets.select("kind").distinct(), "kind", "left_semi")
+    items = pairs.join(first, "window").select("kind", "item")
+    listed = sets.join(items, "kind").groupBy("__set").agg(F.array_sort(F.collect_set("item")).alias("__items"))
+    columns = [f"`{c}`" for c in found.columns if c != "__kinds"]
+    empty = found.filter(none).select(*columns, F.array().cast("array<string>").alias("__items"))
+    return empty.union(named.join(listed, "__set").select(*columns, "__items"))
 
 
 def _pass(docs: DataFrame, index: dict[Shingle, list[Probe]], text_column: str, keep: list[str]) -> DataFrame:
     """One block's hits added to the rows."""
     shared = docs.sparkSession.sparkContext.broadcast((index, by_length(index)))
 
-    def rows(texts, spans, items):
+    def rows(texts, spans, kinds):
         index, sets = shared.value
-        for text, old, named in zip(texts, spans, items):
+        for text, old, named in zip(texts, spans, kinds):
             words = alnum_words(text)
             found, more = search(words, index, sets)
             old = [(s["start"], s["stop"]) for s in old]
@@ -181,9 +214,9 @@ def _pass(docs: DataFrame, index: dict[Shingle, list[Probe]], text_column: str,
             yield len(words), old, named
 
     found = with_columns(
-        docs, [text_column, "__spans", "__items"],
-        "__n long, __s array<struct<start:int,stop:int>>, __i array<string>", rows, keep)
-    return found.withColumnsRenamed({"__n": "__n_words", "__s": "__spans", "__i": "__items"})
+        docs, [text_column, "__spans", "__kinds"],
+        "__n long, __s array<struct<start:int,stop:int>>, __k array<string>", rows, keep)
+    return found.withColumnsRenamed({"__n": "__n_words", "__s": "__spans", "__k": "__kinds"})
 
 
 def n_hit(spans: Column) -> Column:

@@ -161,6 +161,20 @@ def test_contamination_by_items_without_id(spark, monkeypatch, block):
     assert [(h[0], h[3]) for h in want if h[2]] == [(None, ()), (1, ("2",)), (2, ()), (2, ()), (4, ("2",))]
 
 
+def test_item_ids_do_not_pass_through_the_driver(spark, monkeypatch):
+    words = cases.prose(1).split(" ")
+    shared, others = " ".join(words[:14]), cases.prose(2, 4000).split(" ")
+    items = [(k, f"{shared} {' '.join(others[k * 12 : k * 12 + 12])}") for k in range(300)] + [(None, shared)]
+    rows = [(1, cases.prose(1)), (2, items[7][1]), (3, cases.prose(5)), (4, f"x {shared}"), (4, f"{shared} y")]
+    blocks, probes = [], decontaminate.probes
+    monkeypatch.setattr(decontaminate, "probes", lambda docs, block, column: blocks.extend(block) or probes(docs, block, column))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(cases.documents(spark, rows), bench).collect()
+    flat = [(r.doc_id, r["__n_words"], sum(s.stop - s.start for s in r["__spans"]), tuple(r["__items"])) for r in got]
+    assert sorted(flat, key=cases.key) == hits(rows, items)
+    assert len(blocks) > 300 and all(sum(map(len, row)) < 200 for row in blocks)
+
+
 def test_contamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = cases.documents(spark)
