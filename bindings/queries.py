@@ -1005,15 +1005,11 @@ def _(spark, d):
     return _request_columns(scoring.score_requests(asked, V.locations(spark, d), snapshot(spark, d), None, live, ahead))
 
 
-#: Few trees, so that the comparison ends; all rows, features, horizons and quantiles, and the matrix is rewritten on the way.
-FEW_TREES = boosting.BoostParams(n_estimators=4, learning_rate=0.3, rewrite_every=2)
-
-
 @check("m4_boost", "SELECT commodity, count(*) AS n, count(*) AS n_ordered, true AS better_than_start FROM panel GROUP BY 1")
 def _(spark, d):
     df = stored(spark, d, "gold", gold)
     targets = {f"{h}d": f"target_price_{h}d" for h in K.HORIZONS}
-    model = boosting.train(df, targets, params=FEW_TREES)
+    model = boosting.train(df, targets)
     start = boosting.predict(df, model.stump())
     made = boosting.predict(df, model).select("mandi_id", "commodity", "date", *targets.values(), *[
         f"q{q}_{h}d" for h in K.HORIZONS for q in (10, 50, 90)])
@@ -1031,7 +1027,7 @@ def _(spark, d):
 @check("c14_evaluation")
 def _(spark, d):
     rows = durable(evaluation.evaluation_rows(stored(spark, d, "gold", gold)), "rows")
-    model = evaluation.train_on_split(rows, params=FEW_TREES)
+    model = evaluation.train_on_split(rows)
     return evaluation.report(durable(evaluation.evaluate(rows, model), "metrics"))
 
 

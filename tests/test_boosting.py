@@ -113,3 +113,22 @@ def test_small_commodities_are_not_evaluated(spark):
                           "x0": 1.0, "modal_price": 1.0, "target_price_7d": 1.0})
     rows = evaluation.evaluation_rows(spark.createDataFrame(frame), ["x0"], [7], min_rows=200)
     assert rows.where("split_7d is not null").count() == 0
+
+
+@pytest.mark.parametrize("name", ["m4_boost", "c14_evaluation"])
+def test_registered_queries_train_all_trees(monkeypatch, name):
+    from bindings import queries as bound
+
+    class Reached(Exception):
+        pass
+
+    def train(*_, params=boosting.BoostParams(), **__):
+        raise Reached(params.n_estimators, params.learning_rate)
+
+    for module, part in ((bound, "stored"), (bound, "durable"), (evaluation, "evaluation_rows")):
+        monkeypatch.setattr(module, part, lambda *_: None)
+    monkeypatch.setattr(boosting, "train", train)
+    monkeypatch.setattr(evaluation, "train_on_split", train)
+    with pytest.raises(Reached) as got:
+        bound.QUERIES[name](None, "")
+    assert got.value.args == (200, 0.05)
