@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat, decontaminate, licenses, near_dups, ordinal, piece_counts, quality_rules, token_files, urls
+from granary.llm import (
+    byte_bpe, chat, decontaminate, fill_middle, filter_audit, licenses, near_dups, ordinal, piece_counts, quality_rules, simhash,
+    token_files, urls)
 from granary.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,4 +119,26 @@ def op10_urls(spark, folder):
     return urls.judge(table(spark, folder, "pages"), weights)
 
 
+@query
+def op11_simhash(spark, folder):
+    """Classes of documents linked by fingerprints at most four bits apart."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op12_filter_audit(spark, folder):
+    """What five filters remove from all documents in each of their orders."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_fill_middle(spark, folder):
+    """All documents cut for filling in the middle, and restored from what that gave."""
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+SQL |= {"op12_filter_audit": filter_audit.SQL, "op13_fill_middle": fill_middle.SQL}
 SQL |= {"op5_decontaminate": decontaminate.SQL, "op7_licenses": licenses.sql(), "op4_quality_rules": quality_rules.SQL, "op8_chat": chat.SQL}

@@ -10,7 +10,8 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Columns whose names the operators use inside or give out themselves.
 CLASHES = ("n_words", "ids", "key", "node", "c", "digest", "component", "kept", "start", "id", "rule", "host", "a", "b", "item",
-           "grade", "block", "window", "formatted", "n", "pivot", "shard", "base")
+           "grade", "block", "window", "formatted", "n", "pivot", "shard", "base", "print", "fingerprint", "first", "component_id", "least",
+           "part", "mask", "step", "good", "toxic", "form", "output", "prefix_chars")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
