@@ -1,9 +1,10 @@
-"""Quantile boosting on histograms, all models of a run in the same Spark jobs.
+"""Quantile boosting on histograms for many keys, horizons and quantiles at once.
 
-Rows stay where they are: each task reduces its rows to gradient histograms, Spark adds the histograms up
-and picks the splits, and only the chosen splits (a few numbers per node) reach the driver. A model group
-with a third of all rows is spread over all tasks like any other. The training matrix lives in the shared
-folder and is rewritten every few trees, so a lost executor costs one task and lineage stays short.
+Rows are binned once into blocks: byte matrices of a bounded number of rows of one key, kept in the shared folder. A key whose
+rows fit a task (TASK_ROWS, by count) is trained there, all trees of one of its horizons in one task, so a run over many keys
+is one Spark job. A key with more rows stays where it is: tasks reduce their blocks to histograms and leaf summaries, Spark
+adds those up, and only sums of a fixed size reach the driver, which picks the splits; scores are written with the blocks every
+few trees, into one of two folders by turns. Both ways call the same functions of granary.operators.trees.
 """
 
 from __future__ import annotations
@@ -11,21 +12,29 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import columns as C
 from granary.functions import constants as K
-from granary.operators.splits import assign_folds, walk_forward_folds
-from granary.session import durable
-
-MODELS_PER_RUN = 64
+from granary.operators.splits import walk_forward_folds
+from granary.operators.trees import (
+    Rows, best_splits, boost, histogram, moved, pinball, sampled, scores, summary, summary_quantile)
+from granary.session import durable, scratch_path
+
+#: Rows of one key and horizon that a task may train alone, at some 150 bytes each.
+TASK_ROWS = 2_000_000
+#: Keys that share a run; what travels to tasks and driver grows with it: bin edges, and histograms of keys too large for a task.
+MODELS_PER_RUN, LARGE_PER_RUN = 256, 16
+BLOCK_ROWS = 16_384
+#: Residuals a task sends for one leaf.
+POINTS = 1024
 BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
@@ -39,11 +48,11 @@ class BoostParams:
     bins: int = 32
     random_state: int = 42
     quantiles: Sequence[float] = K.QUANTILES
-    rewrite_every: int = 10
+    rewrite_every: int = 4
 
     def __post_init__(self):
-        if not 2 <= self.bins <= 256:
-            raise ValueError("bins must be between 2 and 256: a bin is stored in one byte")
+        if not 2 <= self.bins <= 128:
+            raise ValueError("bins must be between 2 and 128: twice a bin is stored in one byte")
 
     @property
     def nodes(self) -> int:
@@ -84,7 +93,7 @@ class BoostModel:
                        value=self.value[:, :, :1] * 0)
 
     def training_losses(self, model: int = 0) -> dict[tuple[str, float], list[float]]:
-        """Mean pinball loss after each tree: on the next tree's sample, at the end on all rows."""
+        """Mean pinball loss on all training rows after each tree."""
         return {slot: [round_[(model, s)] for round_ in self.losses if (model, s) in round_] for s, slot in enumerate(self.slots)}
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -147,18 +156,6 @@ def _used_nodes(feature: np.ndarray) -> Iterator[int]:
             open_nodes += [2 * node, 2 * node + 1]
 
 
-def _descend(inside: np.ndarray, model: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    """Node of every row in its model's tree; feature and cut are [model, node]."""
-    node = np.ones(len(model), np.int64)
-    rows = np.arange(len(model))
-    for _ in range(depth):
-        f = feature[model, node]
-        split = f >= 0
-        right = inside[rows, np.maximum(f, 0)] > cut[model, node]
-        node = np.where(split, 2 * node + right, node)
-    return node
-
-
 # --- training -----------------------------------------------------------------------------------
 
 def train(df: DataFrame, targets: dict[str, str], features: Sequence[str] = K.FEATURES,
@@ -168,24 +165,30 @@ def train(df: DataFrame, targets: dict[str, str], features: Sequence[str] = K.FE
 
     Rows miss a target where it is NULL; NULL features count as 0. `row_key` makes the subsample repeatable.
     """
-    features = [f for f in features if f in df.columns]
+    features, horizons, keys = [f for f in features if f in df.columns], list(targets), list(keys)
+    kept = durable(_kept(df, targets, features, keys, row_key), "train")
+    groups = _sketches(kept, features, horizons, keys, params)
+    if not groups:
+        raise ValueError("no rows with a target")
+    return _join_parts([
+        _train_run(kept, groups[begin:begin + MODELS_PER_RUN], features, horizons, keys, params)
+        for begin in range(0, len(groups), MODELS_PER_RUN)])
+
+
+def _kept(df: DataFrame, targets: dict[str, str], features: Sequence[str], keys: Sequence[str], row_key: Sequence[str],
+          time: Column | None = None) -> DataFrame:
+    """Rows with a target: keys as text, x_ features, y_ targets, a hash of the row key and a month number."""
     has_target = F.lit(False)
     for t in targets.values():
         has_target = has_target | F.col(t).isNotNull()
     for k in keys:
         has_target = has_target & F.col(k).isNotNull()
-    kept = durable(df.where(has_target).select(
+    return df.where(has_target).select(
         *[F.col(k).cast("string").alias(k) for k in keys],
         *[F.coalesce(C.number(f), F.lit(0.0)).alias(f"x_{f}") for f in features],
         *[C.number(t).alias(f"y_{h}") for h, t in targets.items()],
-        F.xxhash64(*keys, *[k for k in row_key if k in df.columns]).alias("row")), "train")
-    groups = _sketches(kept, features, list(targets), list(keys), params)
-    parts = [
-        _train_run(kept, groups[begin:begin + MODELS_PER_RUN], features, list(targets), list(keys), params)
-        for begin in range(0, len(groups), MODELS_PER_RUN)]
-    if not parts:
-        raise ValueError("no rows with a target")
-    return _join_parts(parts)
+        F.xxhash64(*keys, *[k for k in row_key if k in df.columns]).alias("row"),
+        (F.lit(0) if time is None else time).cast("int").alias("time"))
 
 
 def _join_parts(parts: list[BoostModel]) -> BoostModel:
@@ -204,56 +207,16 @@ def _join_parts(parts: list[BoostModel]) -> BoostModel:
 
 
 def _sketches(kept: DataFrame, features: list[str], horizons: list[str], keys: list[str], params: BoostParams) -> list:
-    """One row per model: its keys, the quantile sketch of every feature, the start value of every slot."""
+    """One row per model: its keys, the quantile sketch of every feature, start value and number of rows of every slot."""
     shares = F.array(*[F.lit(i / params.bins) for i in range(1, params.bins)])
     levels = F.array(*[F.lit(float(q)) for q in params.quantiles])
     return sorted(kept.groupBy(*keys).agg(
         *[F.percentile_approx(f"x_{f}", shares, F.lit(1000)).alias(f"x_{f}") for f in features],
-        *[F.percentile_approx(f"y_{h}", levels, F.lit(10_000)).alias(f"y_{h}") for h in horizons]).collect(),
+        *[F.percentile_approx(f"y_{h}", levels, F.lit(10_000)).alias(f"y_{h}") for h in horizons],
+        *[F.count(f"y_{h}").alias(f"n_{h}") for h in horizons]).collect(),
         key=lambda row: tuple(row[k] for k in keys))
 
 
-def _train_run(kept: DataFrame, sketches: list, features: list[str], horizons: list[str], keys: list[str],
-               params: BoostParams) -> BoostModel:
-    spark = kept.sparkSession
-    groups = [tuple(row[k] for k in keys) for row in sketches]
-    index = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)],
-                                  ", ".join(f"`{k}` string" for k in keys) + ", model int")
-    rows = kept.join(index, keys)
-    slots = [(h, q) for h in horizons for q in params.quantiles]
-    edges, start = _edges_and_start(sketches, features, horizons, params)
-    matrix = durable(rows.mapInArrow(_binner(features, horizons, edges, start),
-                                     _matrix_schema(horizons, len(slots))), "boost")
-
-    shape = (len(groups), len(slots), params.n_estimators, params.nodes)
-    model = BoostModel(keys, groups, features, slots, params.learning_rate, start,
-                       np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape))
-    cuts = np.zeros(shape, np.int64)
-    stored = 0
-
-    def at(tree: int) -> _Pass:
-        return _Pass(model, cuts, horizons, params, stored, tree)
-
-    for t in range(params.n_estimators):
-        for level in range(params.max_depth):
-            if not _grow(_best_splits(matrix, at(t), level), model, cuts, edges, t):
-                break
-        before = _fill_leaves(matrix, at(t), model, t)
-        if t > 0:
-            model.losses.append(before)
-        if (t + 1 - stored) == params.rewrite_every and t + 1 < params.n_estimators:
-            matrix = durable(matrix.mapInArrow(at(t + 1).rescored, matrix.schema), "boost")
-            stored = t + 1
-    model.losses.append(_losses(matrix, at(params.n_estimators)))
-    return model
-
-
-def _matrix_schema(horizons: Sequence[str], n_slots: int) -> str:
-    ys = ", ".join(f"y_{h} double" for h in horizons)
-    scores = ", ".join(f"s_{i} double" for i in range(n_slots))
-    return f"model int, row bigint, bins binary, {ys}, {scores}"
-
-
 def _edges_and_start(sketches: list, features: list[str], horizons: list[str], params: BoostParams):
     """Bin edges [model, feature, bin] and start values [model, slot]; missing edges are infinite."""
     edges = np.full((len(sketches), len(features), params.bins - 1), np.inf)
@@ -266,191 +229,316 @@ def _edges_and_start(sketches: list, features: list[str], horizons: list[str], p
     return edges, start
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+def _blocks(kept: DataFrame, sketches: list, features: list[str], horizons: list[str], keys: list[str],
+            edges: np.ndarray) -> DataFrame:
+    """The rows of the sketched models as a written table of blocks: model, bins, row, time and one y_ per horizon, as bytes."""
+    index = kept.sparkSession.createDataFrame(
+        [(*[row[k] for k in keys], i) for i, row in enumerate(sketches)], ", ".join(f"`{k}` string" for k in keys) + ", model int")
+    names = ["model", *[f"x_{f}" for f in features], "row", "time", *[f"y_{h}" for h in horizons]]
+    n_features = len(features)
+    schema = ", ".join(["model int", "bins binary", "row binary", "time binary", *[f"y_{h} binary" for h in horizons]])
+    fields = ["model", "bins", "row", "time", *[f"y_{h}" for h in horizons]]
 
+    def block(m: int, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(p, axis=-1) for p in zip(*parts)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([m], pa.int32()), *[pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns]], fields)
 
-def _binner(features: list[str], horizons: list[str], edges: np.ndarray, start: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
-            model = _column(batch, "model")
-            bins = np.zeros((len(model), len(features)), np.uint8)
-            for m in np.unique(model):
-                mine = np.flatnonzero(model == m)
-                for i, f in enumerate(features):
-                    bins[mine, i] = np.searchsorted(edges[m, i], _column(batch, f"x_{f}")[mine], side="left")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(model, pa.int32()), batch.column(batch.schema.get_field_index("row")),
-                 _as_binary(bins),
-                 *[batch.column(batch.schema.get_field_index(f"y_{h}")) for h in horizons],
-                 *[pa.array(start[model, s]) for s in range(start.shape[1])]],
-                names=["model", "row", "bins", *[f"y_{h}" for h in horizons],
-                       *[f"s_{i}" for i in range(start.shape[1])]])
-    return run
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for m in np.unique(columns[0]).tolist():
+                mine = np.flatnonzero(columns[0] == m)
+                bins = np.stack([2 * np.searchsorted(edges[m, i], columns[1 + i][mine], side="left")
+                                 for i in range(n_features)]) if n_features else np.zeros((0, len(mine)))
+                part = [bins.astype(np.uint8), *[c[mine] for c in columns[1 + n_features:]]]
+                parts = waiting.setdefault(m, [])
+                parts.append(part)
+                if sum(len(p[1]) for p in parts) >= BLOCK_ROWS:
+                    yield block(m, waiting.pop(m))
+        for m, parts in waiting.items():
+            yield block(m, parts)
 
+    return durable(kept.join(index, keys).select(*names).mapInArrow(run, schema), "blocks")
 
-def _as_binary(bins: np.ndarray) -> pa.Array:
-    offsets = np.arange(len(bins) + 1, dtype=np.int32) * bins.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(bins),
-                                 [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bins))])
 
+def _array(value: bytes, kind: type, lines: int | None = None) -> np.ndarray:
+    flat = np.frombuffer(value, kind)
+    return flat if lines is None else flat.reshape(lines, -1)
 
-class _Pass:
-    """What a task needs to walk the matrix: finished trees not yet in the stored scores, and the growing one."""
 
-    def __init__(self, model: BoostModel, cuts: np.ndarray, horizons: Sequence[str], params: BoostParams,
-                 stored: int, tree: int):
-        self.feature, self.cuts = model.feature[:, :, stored:tree + 1], cuts[:, :, stored:tree + 1]
-        self.value = model.value[:, :, stored:tree]
-        self.finished = tree - stored
-        self.slots, self.width, self.n_models = model.slots, len(model.features), len(model.key_values)
-        self.horizons, self.params, self.tree = horizons, params, tree
+def _gather(table: pa.Table, n_features: int) -> Rows:
+    """All blocks (bins, row, time, y) of a table as one, without rows that have no target."""
+    parts = [[_array(b, np.uint8).reshape(n_features, len(r) // 8), _array(y, float), _array(r, np.int64), _array(t, np.int32)]
+             for b, r, t, y in zip(*[table.column(c).to_pylist() for c in ("bins", "row", "time", "y")])]
+    rows = Rows(*[np.concatenate(p, axis=-1) for p in zip(*parts)])
+    return rows.where(~np.isnan(rows.y))
 
-    def _open(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        bins = b"".join(batch.column(batch.schema.get_field_index("bins")).to_pylist())
-        return (_column(batch, "model").astype(np.int64),
-                np.frombuffer(bins, np.uint8).reshape(batch.num_rows, self.width))
 
-    def _score(self, batch: pa.RecordBatch, model: np.ndarray, bins: np.ndarray, slot: int) -> np.ndarray:
-        total = _column(batch, f"s_{slot}").copy()
-        for t in range(self.finished):
-            node = _descend(bins, model, self.feature[:, slot, t], self.cuts[:, slot, t], self.params.max_depth)
-            total += self.params.learning_rate * self.value[model, slot, t, node]
-        return total
+def _per_horizon(blocks: DataFrame, models: Sequence[int], horizons: Sequence[str]) -> DataFrame:
+    """Blocks of the given models once for each horizon, with only its y, dealt by (model, horizon)."""
+    tall = blocks.where(F.col("model").isin(list(models))).select(
+        "model", F.posexplode(F.array(*[F.col(f"y_{h}") for h in horizons])).alias("horizon", "y"), "bins", "row", "time")
+    return tall.repartition(4 * len(models) * len(horizons), "model", "horizon").groupBy("model", "horizon")
 
-    def _node(self, model: np.ndarray, bins: np.ndarray, slot: int, depth: int) -> np.ndarray:
-        return _descend(bins, model, self.feature[:, slot, self.finished], self.cuts[:, slot, self.finished], depth)
 
-    def _sampled(self, batch: pa.RecordBatch) -> np.ndarray:
-        """A repeatable share of the rows, drawn anew for every tree."""
-        salt = np.uint64((self.params.random_state * 1_000_003 + self.tree) * 0x9E3779B97F4A7C15 % 2**64)
-        x = _column(batch, "row").astype(np.int64).view(np.uint64) ^ salt
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x >> np.uint64(11)) / 2.0**53) < self.params.subsample
+def _train_run(kept: DataFrame, sketches: list, features: list[str], horizons: list[str], keys: list[str],
+               params: BoostParams) -> BoostModel:
+    groups = [tuple(row[k] for k in keys) for row in sketches]
+    slots = [(h, q) for h in horizons for q in params.quantiles]
+    edges, start = _edges_and_start(sketches, features, horizons, params)
+    blocks = _blocks(kept, sketches, features, horizons, keys, edges)
+    shape = (len(groups), len(slots), params.n_estimators, params.nodes)
+    model = BoostModel(keys, groups, features, slots, params.learning_rate, start,
+                       np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape),
+                       [{} for _ in range(params.n_estimators)])
+    cuts = np.zeros(shape, np.int64)
+    large = [m for m, row in enumerate(sketches) if max(row[f"n_{h}"] for h in horizons) > TASK_ROWS]
+    small = sorted(set(range(len(groups))) - set(large))
+    if small:
+        _train_in_tasks(blocks, small, model, cuts, horizons, params)
+    for begin in range(0, len(large), LARGE_PER_RUN):
+        _Spread(blocks, large[begin:begin + LARGE_PER_RUN], model, cuts, horizons, params).train()
+    for m, f in itertools.product(range(len(groups)), range(len(features))):
+        at = model.feature[m] == f
+        model.threshold[m][at] = edges[m, f][cuts[m][at]]
+    return model
 
-    def rescored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            model, bins = self._open(batch)
-            for slot in range(len(self.slots)):
-                at = batch.schema.get_field_index(f"s_{slot}")
-                batch = batch.set_column(at, f"s_{slot}", pa.array(self._score(batch, model, bins, slot)))
-            yield batch
-
-    def histograms(self, level: int):
-        """Sum of gradients and row count per (model, slot, node, feature, bin), one table per task."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first, n_bins = 2 ** level, self.params.bins
-            shape = (len(self.slots), self.width, self.n_models, first, n_bins)
-            gradient, count = np.zeros(shape), np.zeros(shape)
-            cells = self.n_models * first * n_bins
+
+def _train_in_tasks(blocks: DataFrame, models: list[int], model: BoostModel, cuts: np.ndarray, horizons: list[str],
+                    params: BoostParams) -> None:
+    """Each (model, horizon) in a task of its own; fills the trees of the given models."""
+    n_features, per = len(model.features), len(params.quantiles)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _gather(table, n_features)
+        m, h = table.column("model")[0].as_py(), table.column("horizon")[0].as_py()
+        made = []
+        for i, q in enumerate(params.quantiles):
+            first, *trees = boost(rows, q, params.bins, params.n_estimators, params.learning_rate, params.max_depth,
+                                  max(params.min_samples_leaf, 1), params.subsample, params.random_state)
+            made.append((m, h * per + i, first, len(rows.y), *[a.tobytes() for a in trees]))
+        return pa.Table.from_arrays([pa.array(c) for c in zip(*made)], ["model", "slot", "start", "n", *parts])
+
+    parts = ("feature", "cut", "value", "losses")
+    schema = "model long, slot long, start double, n long, " + ", ".join(f"{p} binary" for p in parts)
+    for row in _per_horizon(blocks, models, horizons).applyInArrow(run, schema).collect():
+        at, nodes = (row["model"], row["slot"]), params.nodes
+        if row["n"]:
+            model.start[at] = row["start"]
+            for target, name, kind in ((model.feature, "feature", np.int32), (cuts, "cut", np.int64), (model.value, "value", float)):
+                target[at] = _array(row[name], kind).reshape(-1, nodes)
+            for t, loss in enumerate(_array(row["losses"], float)):
+                model.losses[t][at] = float(loss)
+
+
+class _Spread:
+    """Models with more rows than a task takes: blocks stay in place and are reduced to sums, level by level."""
+
+    def __init__(self, blocks: DataFrame, models: list[int], model: BoostModel, cuts: np.ndarray, horizons: list[str],
+                 params: BoostParams):
+        self.model, self.cuts, self.models, self.horizons, self.params = model, cuts, models, horizons, params
+        self.slots = len(model.slots)
+        self.place = scratch_path(blocks.sparkSession, "scored")
+        self.written, self.stored = 0, 0
+        starts = {m: model.start[m] for m in models}
+        kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                model, bins = self._open(batch)
-                sampled = self._sampled(batch)
-                for slot, (horizon, q) in enumerate(self.slots):
-                    y = _column(batch, f"y_{horizon}")
-                    node = self._node(model, bins, slot, level)
-                    use = sampled & ~np.isnan(y) & (node >= first)
-                    if not use.any():
-                        continue
-                    step = np.where(y[use] > self._score(batch, model, bins, slot)[use], q, q - 1.0)
-                    base = (model[use] * first + node[use] - first) * n_bins
-                    for f in range(self.width):
-                        cell = base + bins[use, f]
-                        gradient[slot, f] += np.bincount(cell, step, cells).reshape(shape[2:])
-                        count[slot, f] += np.bincount(cell, minlength=cells).reshape(shape[2:])
-            slot, f, m, node, b = np.nonzero(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(m, pa.int32()), pa.array(slot, pa.int32()), pa.array(node + first, pa.int32()),
-                 pa.array(f, pa.int32()), pa.array(b, pa.int32()),
-                 pa.array(gradient[slot, f, m, node, b]), pa.array(count[slot, f, m, node, b].astype(np.int64))],
-                names=["model", "slot", "node", "feature", "bin", "g", "n"])
-        return run
-
-    def residuals(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sampled rows with their leaf and what is left to explain."""
-        for batch in batches:
-            model, bins = self._open(batch)
-            sampled = self._sampled(batch)
-            for slot, (horizon, _) in enumerate(self.slots):
-                y = _column(batch, f"y_{horizon}")
-                use = sampled & ~np.isnan(y)
-                rest = (y - self._score(batch, model, bins, slot))[use]
-                node = self._node(model, bins, slot, self.params.max_depth)[use]
+                n = [len(r) // 8 for r in batch.column("row").to_pylist()]
+                score = [np.repeat(starts[m], k).tobytes() for m, k in zip(batch.column("model").to_pylist(), n)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.binary())], [*batch.schema.names, "score"])
+
+        mine = blocks.where(F.col("model").isin(models))
+        self.rewrite(mine.mapInArrow(begin, ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", score binary"))
+
+    def rewrite(self, df: DataFrame) -> None:
+        """Write the blocks to the folder that is not being read; the next write takes the other one."""
+        path = f"{self.place}/{self.written % 2}"
+        df.write.mode("overwrite").parquet(path)
+        self.written += 1
+        self.blocks = df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def walker(self, tree: int, depth: int):
+        """A function from a block to (slot, rows, score, node) of each slot: scores before a tree, nodes at a depth of it."""
+        at = {m: (self.model.feature[m, :, self.stored:tree + 1], self.cuts[m, :, self.stored:tree + 1],
+                  self.model.value[m, :, self.stored:tree]) for m in self.models}
+        n_features, per, rate, horizons = len(self.model.features), len(self.params.quantiles), self.params.learning_rate, self.horizons
+        n_slots, full = self.slots, self.params.max_depth
+
+        def walk(block: dict):
+            feature, cut, value = at[block["model"]]
+            bins, score = _array(block["bins"], np.uint8, n_features), _array(block["score"], float, n_slots)
+            row, time = _array(block["row"], np.int64), _array(block["time"], np.int32)
+            for slot in range(n_slots):
+                rows = Rows(bins, _array(block[f"y_{horizons[slot // per]}"], float), row, time)
+                total = score[slot].copy()
+                for t in range(value.shape[1]):
+                    node = np.ones(len(row), np.intp)
+                    for _ in range(full):
+                        node = moved(bins, node, feature[slot, t], cut[slot, t])
+                    total += rate * value[slot, t][node]
+                node = np.ones(len(row), np.intp)
+                for _ in range(depth):
+                    node = moved(bins, node, feature[slot, -1], cut[slot, -1])
+                yield slot, rows, total, node
+
+        return walk
+
+    def reduced(self, tree: int, depth: int, per_block: Callable, merge: Callable, finish: Callable) -> list:
+        """Sums over all blocks: per_block gives (slot, node, arrays), merge joins two tuples of arrays, finish makes the last.
+
+        Tasks join what they find, and the parts of one (model, slot, node) meet after one exchange of fixed-size rows.
+        """
+        walk = self.walker(tree, depth)
+        schema = "model int, slot int, node int, parts array<binary>"
+
+        def emit(held: dict, last: Callable) -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = list(zip(*[(*key, [np.ascontiguousarray(a).tobytes() for a in last(key, parts)]) for key, parts in held.items()]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(model[use], pa.int32()), pa.array(np.full(len(rest), slot), pa.int32()),
-                     pa.array(node, pa.int32()), pa.array(rest)], names=["model", "slot", "node", "r"])
+                    [*[pa.array(c, pa.int32()) for c in columns[:3]], pa.array(columns[3], pa.list_(pa.binary()))],
+                    ["model", "slot", "node", "parts"])
 
-    def losses(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((self.n_models, len(self.slots)))
-        count = np.zeros_like(total)
-        for batch in batches:
-            model, bins = self._open(batch)
-            for slot, (horizon, q) in enumerate(self.slots):
-                miss = _column(batch, f"y_{horizon}") - self._score(batch, model, bins, slot)
-                use = ~np.isnan(miss)
-                loss = np.maximum(q * miss, (q - 1.0) * miss)[use]
-                total[:, slot] += np.bincount(model[use], loss, self.n_models)
-                count[:, slot] += np.bincount(model[use], minlength=self.n_models)
-        m, slot = np.nonzero(count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(m, pa.int32()), pa.array(slot, pa.int32()), pa.array(total[m, slot]),
-             pa.array(count[m, slot].astype(np.int64))], names=["model", "slot", "loss", "n"])
-
-
-def _best_splits(matrix: DataFrame, state: _Pass, level: int) -> list:
-    """The best cut of each open node, at most one row per (model, slot, node)."""
-    cells = matrix.mapInArrow(
-        state.histograms(level),
-        "model int, slot int, node int, feature int, bin int, g double, n bigint")
-    # First the sums, dealt by all five keys, so a root's cells of many tasks spread over as many partitions as it has
-    # cells; only then one node's features x bins sums meet for the running sums and the choice.
-    cells = cells.groupBy("model", "slot", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-    line = Window.partitionBy("model", "slot", "node", "feature")
-    left = line.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sides = cells.select(
-        "model", "slot", "node", "feature", "bin",
-        F.sum("g").over(left).alias("gl"), F.sum("n").over(left).alias("nl"),
-        F.sum("g").over(line).alias("g"), F.sum("n").over(line).alias("n")
-    ).withColumns({"gr": F.col("g") - F.col("gl"), "nr": F.col("n") - F.col("nl")})
-    least = max(state.params.min_samples_leaf, 1)
-    gain = (F.col("gl") * F.col("gl") / F.col("nl") + F.col("gr") * F.col("gr") / F.col("nr")
-            - F.col("g") * F.col("g") / F.col("n"))
-    usable = sides.where((F.col("nl") >= least) & (F.col("nr") >= least)).withColumn("gain", F.round(gain, 9))
-    best = F.max_by(F.struct("feature", "bin"), F.struct("gain", -F.col("feature"), -F.col("bin"))).alias("cut")
-    return usable.where(F.col("gain") > 1e-9).groupBy("model", "slot", "node").agg(best).select(
-        "model", "slot", "node", "cut.feature", "cut.bin").collect()
-
-
-def _grow(found: list, model: BoostModel, cuts: np.ndarray, edges: np.ndarray, tree: int) -> bool:
-    for row in found:
-        at = (row["model"], row["slot"], tree, row["node"])
-        model.feature[at], cuts[at] = row["feature"], row["bin"]
-        model.threshold[at] = edges[row["model"], row["feature"], row["bin"]]
-    return bool(found)
-
-
-def _fill_leaves(matrix: DataFrame, state: _Pass, model: BoostModel, tree: int) -> dict[tuple[int, int], float]:
-    """Each leaf gets its slot's quantile of the residuals that end there; returns the loss before this tree."""
-    quantiles = [float(q) for q in state.params.quantiles]
-    own = F.array(*map(F.lit, quantiles))[F.col("slot") % len(quantiles)]
-    loss = F.greatest(own * F.col("r"), (own - 1.0) * F.col("r"))
-    leaves = matrix.mapInArrow(state.residuals, "model int, slot int, node int, r double").groupBy(
-        "model", "slot", "node").agg(
-        F.percentile_approx("r", F.array(*map(F.lit, quantiles)), F.lit(10_000)).alias("v"),
-        F.sum(loss).alias("loss"), F.count("*").alias("n")).collect()
-    total: dict[tuple[int, int], tuple[float, int]] = {}
-    for row in leaves:
-        model.value[row["model"], row["slot"], tree, row["node"]] = row["v"][row["slot"] % len(quantiles)]
-        spent, seen = total.get((row["model"], row["slot"]), (0.0, 0))
-        total[(row["model"], row["slot"])] = (spent + row["loss"], seen + row["n"])
-    return {at: spent / seen for at, (spent, seen) in total.items()}
-
-
-def _losses(matrix: DataFrame, state: _Pass) -> dict[tuple[int, int], float]:
-    rows = matrix.mapInArrow(state.losses, "model int, slot int, loss double, n bigint").groupBy("model", "slot").agg(
-        (F.sum("loss") / F.sum("n")).alias("loss")).collect()
-    return {(r["model"], r["slot"]): r["loss"] for r in rows}
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            for batch in batches:
+                for block in batch.to_pylist():
+                    for slot, node, parts in per_block(block, walk(block)):
+                        key = (block["model"], slot, node)
+                        held[key] = merge(held[key], parts) if key in held else parts
+            yield from emit(held, lambda key, parts: parts)
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    key, parts = (r["model"], r["slot"], r["node"]), merge.read(r["parts"])
+                    held[key] = merge(held[key], parts) if key in held else parts
+            yield from emit(held, finish)
+
+        found = self.blocks.mapInArrow(local, schema).repartition("model", "slot", "node").mapInArrow(joined, schema)
+        return [((r["model"], r["slot"], r["node"]), r["parts"]) for r in found.toArrow().to_pylist()]
+
+    def histograms(self, tree: int, level: int, wanted: dict[tuple[int, int], np.ndarray]) -> dict:
+        """Histogram of each wanted node, {(model, slot): nodes}, at a level of the growing tree."""
+        params, shape = self.params, (len(self.model.features), self.params.bins, 2)
+
+        def per_block(block: dict, slots):
+            for slot, rows, score, node in slots:
+                nodes = wanted.get((block["model"], slot))
+                if nodes is None:
+                    continue
+                place = np.full(params.nodes, len(nodes))
+                place[nodes] = np.arange(len(nodes))
+                use = sampled(rows.row, params.subsample, params.random_state, tree) & ~np.isnan(rows.y)
+                rows_at = np.where(use, place[node], len(nodes))
+                hist = histogram(rows.bins, rows_at, rows.y > score, len(nodes) + 1, params.bins)
+                yield from ((slot, int(n), (hist[i],)) for i, n in enumerate(nodes))
+
+        got = self.reduced(tree, level, per_block, _Sum(np.int64), lambda key, parts: parts)
+        return {key: _array(parts[0], np.int64).reshape(shape) for key, parts in got}
+
+    def leaves(self, tree: int, depth: int) -> dict:
+        """(value, rows, loss before the tree) of each leaf; residuals travel as summaries of at most POINTS values."""
+        params, quantiles = self.params, [q for _, q in self.model.slots]
+
+        def per_block(block: dict, slots):
+            for slot, rows, score, node in slots:
+                known = ~np.isnan(rows.y)
+                use = sampled(rows.row, params.subsample, params.random_state, tree) & known
+                miss = rows.y - score
+                loss = pinball(miss, quantiles[slot])
+                for leaf in np.unique(node[known]).tolist():
+                    mine = node == leaf
+                    rest, spent = miss[mine & use], loss[mine & known]
+                    yield slot, leaf, (*summary(rest, np.ones(len(rest), np.int64), POINTS), np.array([spent.sum(), len(spent)]))
+
+        def value(key: tuple, parts: tuple) -> tuple:
+            found = summary_quantile(parts[0], parts[1], quantiles[key[1]]) if len(parts[0]) else 0.0
+            return (np.array([found, parts[2][1], parts[2][0]]),)
+
+        return {key: _array(parts[0], float) for key, parts in self.reduced(tree, depth, per_block, _Summaries(), value)}
+
+    def split(self, tree: int, hists: dict) -> dict[tuple[int, int], np.ndarray]:
+        """Sets the best cuts of nodes by their histograms; per (model, slot) the smaller children, which are counted next."""
+        counted: dict[tuple[int, int], list[int]] = {}
+        keys = sorted(hists)
+        if not keys:
+            return {}
+        q = np.array([self.model.slots[s][1] for _, s, _ in keys])
+        found = best_splits(np.stack([hists[k] for k in keys]), q, max(self.params.min_samples_leaf, 1))
+        for (m, s, node), feature, cut, left_smaller in zip(keys, *found):
+            if feature >= 0:
+                self.model.feature[m, s, tree, node], self.cuts[m, s, tree, node] = feature, cut
+                counted.setdefault((m, s), []).append(2 * node + (not left_smaller))
+        return {pair: np.array(nodes) for pair, nodes in counted.items()}
+
+    def note_losses(self, leaves: dict, tree: int) -> None:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for (m, s, _), (_, n, spent) in leaves.items():
+            total[m, s] = total.get((m, s), 0) + np.array([spent, n])
+        self.model.losses[tree].update({at: float(spent / n) for at, (spent, n) in total.items()})
+
+    def train(self) -> None:
+        params, model = self.params, self.model
+        for t in range(params.n_estimators):
+            counted = {pair: np.array([1]) for pair in itertools.product(self.models, range(self.slots))}
+            parents: dict = {}
+            for level in range(params.max_depth):
+                hists = self.histograms(t, level, counted)
+                # a child that was not counted is what the other one leaves of the parent
+                hists |= {(m, s, node ^ 1): parents[m, s, node // 2] - h for (m, s, node), h in hists.items() if node > 1}
+                counted = self.split(t, hists)
+                if not counted:
+                    break
+                parents = hists
+            leaves = self.leaves(t, params.max_depth)
+            for (m, s, node), found in leaves.items():
+                model.value[m, s, t, node] = found[0]
+            if t:
+                self.note_losses(leaves, t - 1)
+            if t + 1 - self.stored == params.rewrite_every and t + 1 < params.n_estimators:
+                self.rescore(t + 1)
+        if params.n_estimators:
+            self.note_losses(self.leaves(params.n_estimators, 0), params.n_estimators - 1)
+
+    def rescore(self, tree: int) -> None:
+        walk = self.walker(tree, 0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score = [np.concatenate([total for _, _, total, _ in walk(block)]).tobytes() for block in batch.to_pylist()]
+                at = batch.schema.get_field_index("score")
+                yield batch.set_column(at, "score", pa.array(score, pa.binary()))
+
+        self.rewrite(self.blocks.mapInArrow(run, self.blocks.schema))
+        self.stored = tree
+
+
+class _Sum:
+    """Adds up arrays of one length."""
+
+    def __init__(self, kind: type):
+        self.kind = kind
+
+    def read(self, parts: list[bytes]) -> tuple:
+        return tuple(_array(p, self.kind) for p in parts)
+
+    def __call__(self, a: tuple, b: tuple) -> tuple:
+        return tuple(x + y for x, y in zip(a, b))
+
+
+class _Summaries:
+    """Joins (values, weights, sums)."""
+
+    def read(self, parts: list[bytes]) -> tuple:
+        return _array(parts[0], float), _array(parts[1], np.int64), _array(parts[2], float)
+
+    def __call__(self, a: tuple, b: tuple) -> tuple:
+        return *summary(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])), POINTS), a[2] + b[2]
 
 
 # --- use ----------------------------------------------------------------------------------------
@@ -480,28 +568,42 @@ def predict(df: DataFrame, model: BoostModel | None, sort: bool = True) -> DataF
     return out
 
 
+def _full(model: BoostModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees with every leaf at the last level: a node that does not split sends all rows to the left."""
+    feature, threshold, value = model.feature.copy(), model.threshold.copy(), model.value.copy()
+    for node in range(1, feature.shape[3] // 2):
+        leaf = feature[..., node] < 0
+        threshold[..., node][leaf] = np.inf
+        value[..., 2 * node][leaf] = value[..., node][leaf]
+    return np.maximum(feature, 0), threshold, value
+
+
 def _predict_part(df: DataFrame, model: BoostModel, sort: bool) -> DataFrame:
     depth = int(math.log2(model.feature.shape[3])) - 1
-    slots = model.slots
-    shared = df.sparkSession.sparkContext.broadcast(
-        (model.feature, model.threshold, model.value, model.start, model.learning_rate))
+    slots, model_width = model.slots, len(model.features)
+    width = max(model_width, 1)
+    shared = df.sparkSession.sparkContext.broadcast((*_full(model), model.start, model.learning_rate))
 
     @F.pandas_udf("array<double>")
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         feature, threshold, value, start, rate = shared.value
         for which, inputs in frames:
-            known = which.notna().to_numpy()
             out = np.full((len(which), len(slots)), np.nan)
-            if known.any():
-                m = which[known].to_numpy().astype(np.int64)
-                x = np.stack(inputs[known].to_numpy())
+            for m in which.dropna().unique().astype(int).tolist():
+                mine = np.flatnonzero(which == m)
+                x = np.zeros((len(mine), width))
+                if model_width:
+                    x[:] = np.stack(inputs.iloc[mine].to_numpy())
+                x, base = x.ravel(), np.arange(len(mine)) * width
                 for s in range(len(slots)):
-                    total = start[m, s].copy()
-                    for t in range(feature.shape[2]):
-                        node = _descend(x, m, feature[:, s, t], threshold[:, s, t], depth)
-                        total += rate * value[m, s, t, node]
-                    out[known, s] = total
-            yield pd.Series([row if k else None for row, k in zip(out, known)])
+                    total = np.full(len(mine), start[m, s])
+                    for f, cut, leaf in zip(feature[m, s], threshold[m, s], value[m, s]):
+                        node = np.ones(len(mine), np.intp)
+                        for _ in range(depth):
+                            node = 2 * node + (x[base + f[node]] > cut[node])
+                        total += rate * leaf[node]
+                    out[mine, s] = total
+            yield pd.Series([None if np.isnan(row[0]) else row for row in out])
 
     pairs = [F.lit(x) for i, k in enumerate(model.key_values) for x in ("\x1f".join(map(str, k)), i)]
     key = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in model.keys])
@@ -528,24 +630,106 @@ def predict_quantile(df: DataFrame, model: BoostModel, horizon: str, quantile: f
 
 # --- search -------------------------------------------------------------------------------------
 
+def fold_bounds(df: DataFrame, min_train_months: int = 6, val_months: int = 1) -> list[tuple[int, int]]:
+    """(until, end) of each fold in months since year 0: it trains before `until` and is tried from there to before `end`."""
+    folds = walk_forward_folds(df, min_train_months, val_months).where("role = 'val'")
+    month = F.year("month_start") * 12 + F.month("month_start") - 1
+    return [(r["lo"], r["hi"] + 1) for r in folds.groupBy("fold").agg(F.min(month).alias("lo"), F.max(month).alias("hi"))
+            .orderBy("fold").collect()]
+
+
+def search_folds(df: DataFrame, targets: dict[str, str], draws: Sequence[BoostParams], bounds: Sequence[tuple[int, int]],
+                 features: Sequence[str] = K.FEATURES, keys: Sequence[str] = ("commodity",),
+                 row_key: Sequence[str] = ("mandi_id", "date")) -> DataFrame:
+    """Per key, draw, fold, horizon and quantile: rows trained on, rows tried on and the sum of their pinball losses.
+
+    All draws and folds read the same blocks: a fold is a bound on the month of a row, checked inside the task, and no row is
+    copied. A fold without rows to train or to try has no row. Keys with more rows than a task takes train draw by draw and
+    fold by fold, spread over the cluster, on what a filter on the month leaves of the stored rows.
+    """
+    features, horizons, keys = [f for f in features if f in df.columns], list(targets), list(keys)
+    month = F.year("date") * 12 + F.month("date") - 1
+    kept = durable(_kept(df, targets, features, keys, row_key, month), "train")
+    schema = (", ".join(f"`{k}` string" for k in keys)
+              + ", draw int, fold int, horizon string, quantile double, n_train long, n_val long, loss double")
+    made = []
+    for bins in sorted({p.bins for p in draws}):
+        mine = [(i, p) for i, p in enumerate(draws) if p.bins == bins]
+        sketches = _sketches(kept, features, horizons, keys, mine[0][1])
+        for begin in range(0, len(sketches), MODELS_PER_RUN):
+            run = sketches[begin:begin + MODELS_PER_RUN]
+            small = [row for row in run if max(row[f"n_{h}"] for h in horizons) <= TASK_ROWS]
+            if small:
+                edges, _ = _edges_and_start(small, features, horizons, mine[0][1])
+                blocks = _blocks(kept, small, features, horizons, keys, edges)
+                tried = _tried([tuple(row[k] for k in keys) for row in small], mine, bounds, horizons, len(features), keys)
+                made.append(_per_horizon(blocks, range(len(small)), horizons).applyInArrow(tried, schema))
+            large = [tuple(row[k] for k in keys) for row in run if max(row[f"n_{h}"] for h in horizons) > TASK_ROWS]
+            made += [_tried_spread(kept, large, i, p, fold, *bound, features, horizons, keys)
+                     for (i, p), (fold, bound) in itertools.product(mine, enumerate(bounds)) if large]
+    if not made:
+        return df.sparkSession.createDataFrame([], schema)
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def _tried(groups: list[tuple], draws: list, bounds: Sequence[tuple[int, int]], horizons: list[str], n_features: int,
+           keys: list[str]):
+    """What a task does with the rows of one key and horizon: every draw on every fold."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _gather(table, n_features)
+        key, h = groups[table.column("model")[0].as_py()], table.column("horizon")[0].as_py()
+        made = []
+        for (i, p), (fold, (until, end)) in itertools.product(draws, enumerate(bounds)):
+            past, next_ = rows.where(rows.time < until), rows.where((rows.time >= until) & (rows.time < end))
+            if not len(past.y) or not len(next_.y):
+                continue
+            for q in p.quantiles:
+                start, *trees, _ = boost(past, q, p.bins, p.n_estimators, p.learning_rate, p.max_depth,
+                                         max(p.min_samples_leaf, 1), p.subsample, p.random_state)
+                loss = pinball(next_.y - scores(next_.bins, start, p.learning_rate, *trees), q)
+                made.append((*key, i, fold + 1, horizons[h], q, len(past.y), len(next_.y), float(loss.sum())))
+        width = len(groups[0])
+        kinds = [*[pa.string()] * width, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+        columns = list(zip(*made)) or [[]] * len(kinds)
+        names = [*keys, "draw", "fold", "horizon", "quantile", "n_train", "n_val", "loss"]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    return run
+
+
+def _tried_spread(kept: DataFrame, groups: list[tuple], draw: int, params: BoostParams, fold: int, until: int, end: int,
+                  features: list[str], horizons: list[str], keys: list[str]) -> DataFrame:
+    spark = kept.sparkSession
+    index = spark.createDataFrame(groups, ", ".join(f"`{k}` string" for k in keys))
+    mine = kept.join(index, keys, "left_semi").withColumnsRenamed({f"x_{f}": f for f in features})
+    past, next_ = mine.where(F.col("time") < until), mine.where((F.col("time") >= until) & (F.col("time") < end))
+    model = train(past, {h: f"y_{h}" for h in horizons}, features, keys, ["row"], params)
+    counts = past.groupBy(*keys).agg(*[F.count(f"y_{h}").alias(f"n_{h}") for h in horizons])
+    tried = predict(next_, model, sort=False)
+    losses = [F.struct(F.lit(h).alias("horizon"), F.lit(float(q)).alias("quantile"), F.count(f"y_{h}").alias("n_val"),
+                       F.sum(C.pinball(f"y_{h}", f"q{round(q * 100):02d}_{h}", q)).alias("loss")) for h, q in model.slots]
+    rows = tried.groupBy(*keys).agg(F.array(*losses).alias("_l")).join(counts, keys)
+    n_train = F.create_map(*[x for h in horizons for x in (F.lit(h), F.col(f"n_{h}"))])
+    return rows.select(*keys, F.explode("_l").alias("_l"), n_train.alias("_n")).select(
+        *keys, F.lit(draw).alias("draw"), F.lit(fold + 1).alias("fold"), "_l.horizon", "_l.quantile",
+        F.col("_n")[F.col("_l.horizon")].alias("n_train"), "_l.n_val", "_l.loss").where("n_train > 0 and n_val > 0")
+
+
 def random_search(df: DataFrame, targets: dict[str, str], grid: dict[str, Sequence], tries: int,
                   features: Sequence[str] = K.FEATURES, keys: Sequence[str] = ("commodity",),
                   min_train_months: int = 6, val_months: int = 1, seed: int = 42,
                   base: BoostParams = BoostParams()) -> list[tuple[BoostParams, float]]:
-    """Parameter draws with their mean validation loss over expanding folds, best first.
+    """Parameter draws with their validation loss over expanding folds, best first: the mean over rows of each horizon and
+    quantile, averaged over these."""
+    drawn = random_draws(grid, tries, seed, base)
+    found = search_folds(df, targets, drawn, fold_bounds(df, min_train_months, val_months), features, keys)
+    slots = found.groupBy("draw", "horizon", "quantile").agg((F.sum("loss") / F.sum("n_val")).alias("loss"))
+    losses = {r["draw"]: r["loss"] for r in slots.groupBy("draw").agg(F.avg("loss").alias("loss")).collect()}
+    return sorted([(p, losses.get(i, math.inf)) for i, p in enumerate(drawn)], key=lambda r: r[1])
 
-    All folds of a draw train together, with the fold as part of the model key.
-    """
-    folds = walk_forward_folds(df, min_train_months, val_months)
-    rows = durable(assign_folds(df, folds).withColumn("fold", F.col("fold").cast("string")), "folds")
+
+def random_draws(grid: dict[str, Sequence], tries: int, seed: int = 42, base: BoostParams = BoostParams()) -> list[BoostParams]:
     combos = list(itertools.product(*grid.values()))
-    drawn = random.Random(seed).sample(combos, min(tries, len(combos)))
-    results = []
-    for combo in drawn:
-        params = replace(base, **dict(zip(grid, combo)))
-        model = train(rows.where("role = 'train'"), targets, features, [*keys, "fold"], params=params)
-        scored = predict(rows.where("role = 'val'"), model, sort=False)
-        losses = [F.avg(C.pinball(targets[h], f"q{round(q * 100):02d}_{h}", q)) for h, q in model.slots]
-        means = [v for v in scored.agg(*losses).first() if v is not None]
-        results.append((params, sum(means) / len(means) if means else math.inf))
-    return sorted(results, key=lambda r: r[1])
+    return [replace(base, **dict(zip(grid, combo))) for combo in random.Random(seed).sample(combos, min(tries, len(combos)))]

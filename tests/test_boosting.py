@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from granary.operators import trees
 from granary.plans import boosting, evaluation
 
 PARAMS = boosting.BoostParams(n_estimators=6, learning_rate=0.3, max_depth=3, subsample=0.8, rewrite_every=4)
@@ -42,6 +43,74 @@ def test_training_is_repeatable_on_other_partitions(data, model):
     assert (again.feature == model.feature).all() and np.allclose(again.value, model.value)
 
 
+def test_spread_training_gives_the_same_trees(data, model, monkeypatch):
+    monkeypatch.setattr(boosting, "TASK_ROWS", 0)
+    spread = boosting.train(data.repartition(3), {"7d": "y"}, ["x0", "x1", "x2"], row_key=["id"], params=PARAMS)
+    assert (spread.feature == model.feature).all() and np.allclose(spread.threshold, model.threshold)
+    assert np.allclose(spread.value, model.value) and np.allclose(spread.start, model.start)
+    for m in (0, 1):
+        mine, theirs = spread.training_losses(m), model.training_losses(m)
+        assert mine.keys() == theirs.keys() and all(np.allclose(mine[k], theirs[k]) for k in mine)
+
+
+def plain_tree(x, score, y, q, least, depth):
+    """(feature, cut, left, right) or a leaf value, on raw features, by trying every cut."""
+    def gain(mask):
+        g = np.where(y[mask] > score[mask], q, q - 1).sum()
+        return g * g / mask.sum()
+
+    best = (1e-9, None, None)
+    for f in range(x.shape[1] if depth else 0):
+        for cut in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= cut
+            if least <= left.sum() <= len(y) - least:
+                gained = round(gain(left) + gain(~left) - gain(np.ones(len(y), bool)), 9)
+                best = max(best, (gained, f, cut), key=lambda b: b[0])
+    if best[1] is None:
+        rest = np.sort(y - score)
+        return rest[int(np.ceil(q * len(rest) - 1e-9)) - 1]
+    left = x[:, best[1]] <= best[2]
+    return (best[1], best[2], *[plain_tree(x[m], score[m], y[m], q, least, depth - 1) for m in (left, ~left)])
+
+
+def tree_of(model, slot, node=1):
+    f = model.feature[0, slot, 0, node]
+    if f < 0:
+        return model.value[0, slot, 0, node]
+    return (f, model.threshold[0, slot, 0, node], tree_of(model, slot, 2 * node), tree_of(model, slot, 2 * node + 1))
+
+
+def test_a_tree_equals_the_plain_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (400, 3)).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.normal(0, 4, 400)
+    frame = pd.DataFrame({"commodity": "A", "id": range(400), "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "y": y})
+    made = boosting.train(spark.createDataFrame(frame), {"7d": "y"}, ["x0", "x1", "x2"], row_key=["id"],
+                          params=boosting.BoostParams(n_estimators=1, max_depth=3, subsample=1.0))
+    for slot, (_, q) in enumerate(made.slots):
+        start = np.sort(y)[int(np.ceil(q * 400 - 1e-9)) - 1]
+
+        def flat(tree):
+            return [v for part in tree for v in flat(part)] if isinstance(tree, tuple) else [float(tree)]
+
+        assert made.start[0, slot] == start
+        assert np.allclose(flat(tree_of(made, slot)), flat(plain_tree(x, np.full(400, start), y, q, 10, 3)))
+
+
+def test_summaries_keep_ranks():
+    rng = np.random.default_rng(6)
+    parts = [rng.normal(i, 1 + i, n) for i, n in enumerate([10, 5000, 20_000, 3])]
+    made = [trees.summary(p, np.ones(len(p), np.int64), 200) for p in parts]
+    values, weights = trees.summary(*[np.concatenate(c) for c in zip(*made)], 200)
+    whole = np.sort(np.concatenate(parts))
+    assert weights.sum() == len(whole) and len(values) <= 200
+    for q in (0.01, 0.1, 0.5, 0.9, 1.0):
+        rank = np.searchsorted(whole, trees.summary_quantile(values, weights, q), side="right") / len(whole)
+        assert abs(rank - q) <= 1 / 100
+    few = trees.summary(np.array([3.0, 1.0, 2.0]), np.ones(3, np.int64), 4)
+    assert trees.summary_quantile(*few, 0.5) == trees.lower_quantile(np.array([3.0, 1.0, 2.0]), 0.5) == 2.0
+
+
 def test_model_survives_as_a_table(spark, data, model, tmp_path):
     model.table(spark).write.parquet(str(tmp_path / "model"))
     back = boosting.BoostModel.from_table(spark.read.parquet(str(tmp_path / "model")), ["commodity"])
@@ -93,6 +162,24 @@ def test_search_prefers_the_better_draw(spark):
     assert [p.learning_rate for p, _ in ranked] == [0.9, 0.01]
 
 
+def test_search_tries_every_fold_alike_in_one_task_and_spread(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    days = pd.date_range("2024-01-01", periods=330)
+    frame = pd.concat([pd.DataFrame({"commodity": c, "mandi_id": "M", "date": days.date, "x0": rng.uniform(0, 9, 330),
+                                     "y": rng.uniform(0, 9, 330)}) for c in "AB"])
+    df = spark.createDataFrame(frame)
+    draws = boosting.random_draws({"max_depth": [1, 2], "bins": [8, 16]}, 4, base=boosting.BoostParams(
+        n_estimators=2, min_samples_leaf=2, quantiles=(0.5,)))
+    assert len({(p.max_depth, p.bins) for p in draws}) == 4
+    bounds = boosting.fold_bounds(df, 8, 2)
+    assert bounds == [(2024 * 12 + 8, 2024 * 12 + 10)]
+    args = (df, {"7d": "y"}, draws[:2], bounds, ["x0"])
+    small = sorted(map(tuple, boosting.search_folds(*args).drop("loss").collect()))
+    assert small == sorted((c, d, 1, "7d", 0.5, 244, 61) for c in "AB" for d in (0, 1))
+    monkeypatch.setattr(boosting, "TASK_ROWS", 0)
+    assert sorted(map(tuple, boosting.search_folds(*args).drop("loss").collect())) == small
+
+
 def test_report(spark):
     rng = np.random.default_rng(1)
     days = pd.date_range("2023-01-01", periods=300)
