@@ -1240,6 +1240,19 @@ def _(spark, d):
     return jobs.rate_audit(events, seconds=21600, limit=3)
 
 
+@check("t2_rate_stream", """
+SELECT client, ts, count(*) AS requests, max(n) AS requests_in_window, CAST(max(n) > 3 AS INTEGER) AS over_limit FROM (
+  SELECT user_id AS client, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts
+    RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM events)
+WHERE date_trunc('milliseconds', ts) <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+def _(spark, d):
+    out = scratch_path(spark, "rates")
+    events = event_stream(spark, d).select(F.col("user_id").alias("client"), "ts")
+    rates = jobs.rate_stream(events, seconds=21600, limit=3, late="1 hour")
+    jobs.write_available(rates, out, scratch_path(spark, "rates-checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @check("t3_snapshot_stream", """
 SELECT user_id, event_type, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
   ORDER BY ts DESC, event_id DESC, value DESC) AS rk FROM events) WHERE rk = 1""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from granary.operators.dedup import latest_per_key
 
@@ -59,13 +61,87 @@ def rate_audit(requests: DataFrame, client: str = "client", at: str = "ts", seco
         (F.col("requests_in_window") > limit).cast("int").alias("over_limit"))
 
 
-def rate_stream(requests: DataFrame, client: str = "client", at: str = "ts", limit: int = 30) -> DataFrame:
-    """Clients over the limit in any sliding minute, on a stream."""
-    return (
-        requests.withWatermark(at, "1 minute").groupBy(F.window(at, "60 seconds", "10 seconds"), client)
-        .agg(F.count("*").alias("requests")).where(F.col("requests") > limit)
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                client, "requests"))
+def rate_stream(requests: DataFrame, client: str = "client", at: str = "ts", seconds: int = 60, limit: int = 30,
+                late: str = "1 minute") -> DataFrame:
+    """The rows of `rate_audit`, on a stream: each (client, instant) once, as soon as the watermark has reached it.
+
+    Requests may come out of order by up to `late`; a later one is dropped and counts nowhere. State is kept for one stretch of
+    one client, with the stretch before as context, so a client with a third of all requests is many keys; a stretch is
+    forgotten when the watermark has passed its end. Needs the RocksDB state store, which it sets for the session.
+    """
+    requests.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    span = seconds * 1_000_000
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    own = F.floor(us / F.lit(span)).cast("long")
+    placed = requests.withWatermark(at, late).select(
+        F.col(client).alias("client"), F.col(at).alias("at"), us.alias("us"),
+        F.explode(F.array(own, own + 1)).alias("stretch"))
+    kind = requests.schema[client].dataType.simpleString()
+    out = placed.groupBy("client", "stretch").transformWithStateInPandas(
+        RateWindows(span), f"client {kind}, us long, requests long, requests_in_window long", "append", "eventTime")
+    return out.select(
+        F.col("client").alias(client), F.timestamp_micros("us").alias(at), "requests", "requests_in_window",
+        (F.col("requests_in_window") > limit).cast("int").alias("over_limit"))
+
+
+class RateWindows(StatefulProcessor):
+    """Requests per instant of one client and stretch (its own and those of the stretch before), given out in order of time."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.instants = handle.getValueState("instants", "us array<long>, n array<long>, done long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        us, n, done = self.instants.get() if self.instants.exists() else ([], [], -(2 ** 63))
+        held = pd.Series(list(n), index=list(us), dtype="int64")
+        for part in rows:
+            held = held.add(part["us"].value_counts(), fill_value=0)
+        held = held.sort_index().astype("int64")
+        self.instants.update((held.index.tolist(), held.tolist(), done))
+        self.handle.registerTimer(self.next_due(key, held, done))
+        yield pd.DataFrame()
+
+    def next_due(self, key, held: pd.Series, done: int) -> int:
+        """When the next own instant is due, in milliseconds; the end of the stretch if none is waiting."""
+        begin = key[1] * self.span
+        waiting = held.index[(held.index > done) & (held.index >= begin)]
+        return int(-(-(int(waiting[0]) if len(waiting) else begin + self.span) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.instants.exists():
+            return
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        us, n, done = self.instants.get()
+        held = pd.Series(list(n), index=pd.Index(list(us), dtype="int64"), dtype="int64")
+        begin, upto = key[1] * self.span, held.cumsum()
+        due = held.index[(held.index > done) & (held.index >= begin) & (held.index <= until)]
+        if until >= begin + self.span:
+            self.instants.clear()
+        elif len(due):
+            done = int(due[-1])
+            held = held[held.index > done - self.span]  # what no later window of this stretch can hold goes
+            self.instants.update((held.index.tolist(), held.tolist(), done))
+        if until < begin + self.span:
+            self.handle.registerTimer(self.next_due(key, held, done))
+        if len(due):
+            before = upto.index.searchsorted(due - self.span, side="right")
+            gone = upto.to_numpy()[before - 1]
+            gone[before == 0] = 0
+            yield pd.DataFrame({"client": [key[0]] * len(due), "us": due, "requests": held_at(upto, due),
+                                "requests_in_window": upto.loc[due].to_numpy() - gone})
+
+
+def held_at(upto: pd.Series, due: pd.Index) -> np.ndarray:
+    """The counts of the given instants from running sums over all of them."""
+    return upto.diff().fillna(upto).loc[due].astype("int64").to_numpy()
 
 
 def merge_snapshot(current: DataFrame | None, rows: DataFrame, keys: Sequence[str] = ("mandi_id", "commodity"),

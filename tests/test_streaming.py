@@ -58,9 +58,36 @@ def test_snapshot_keeps_the_latest(spark, tmp_path):
     assert "target_price_7d" not in got[0]
 
 
-def test_rate_stream(spark, tmp_path):
-    rows = [("a", T0 + timedelta(seconds=i)) for i in range(40)] + [("a", T0 + timedelta(hours=1))]
-    spark.createDataFrame(rows, "client string, ts timestamp").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("client string, ts timestamp").parquet(str(tmp_path / "in"))
-    jobs.write_available(jobs.rate_stream(stream), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).agg(F.max("requests")).first()[0] == 40
+def streamed(spark, tmp_path, *batches, **settings):
+    """Rows that the rate stream gives out, each batch of (client, seconds) arriving as a run of its own."""
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for batch in batches:
+        spark.createDataFrame([(c, T0 + timedelta(seconds=s)) for c, s in batch], "client string, ts timestamp").coalesce(1).write.mode(
+            "append").parquet(source)
+        stream = spark.readStream.schema("client string, ts timestamp").parquet(source)
+        jobs.write_available(jobs.rate_stream(stream, **settings), out, mark).awaitTermination()
+    return sorted((r["client"], (r["ts"] - T0).total_seconds(), r["requests"], r["requests_in_window"], r["over_limit"])
+                  for r in spark.read.parquet(out).collect())
+
+
+def test_rate_stream_counts_every_sliding_minute(spark, tmp_path):
+    """31 requests from 0:05 to 1:04: no aligned minute has them all, the one that ends with the last request has."""
+    rows = [("a", 5 + 59 * i / 30) for i in range(31)]
+    got = streamed(spark, tmp_path, rows, [("z", 100_000)])
+    assert [r[3] for r in got] == list(range(1, 32)) and [r[4] for r in got] == [0] * 30 + [1]
+
+
+def test_rate_stream_agrees_with_the_audit_in_any_order(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), rng.randrange(0, 300_000) / 1000) for _ in range(300)] + [("a", 59.5)] * 5 + [("b", 0.0)]
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.random() * 20)  # out of order by less than the watermark's delay
+    got = streamed(spark, tmp_path, shuffled[:150], shuffled[150:], [("z", 100_000)], limit=5)
+    df = spark.createDataFrame([(c, T0 + timedelta(seconds=s)) for c, s in rows], "client string, ts timestamp")
+    assert got == sorted((r["client"], (r["ts"] - T0).total_seconds(), r["requests"], r["requests_in_window"], r["over_limit"])
+                         for r in jobs.rate_audit(df, limit=5).collect())
+
+
+def test_rate_stream_drops_what_comes_too_late(spark, tmp_path):
+    got = streamed(spark, tmp_path, [("a", 10), ("a", 200)], [("a", 20), ("a", 150)], [("z", 100_000)])
+    assert got == [("a", 10, 1, 1, 0), ("a", 150, 1, 1, 0), ("a", 200, 1, 2, 0)]
