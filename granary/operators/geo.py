@@ -10,49 +10,76 @@ from pyspark.sql import functions as F
 from granary.functions import columns as C
 from granary.functions import constants as K
 from granary.operators.dedup import keep_first
+from granary.session import durable
 
-# Square grids of halving size: 22.5 degrees down to about 600 m.
-LEVELS = 13
-COARSEST = 22.5
+# A quadtree over the globe, two halvings a level: 22.5 degrees down to less than a metre. Cells of up to LEAF points are leaves.
+COARSEST, DEEPEST, LEAF = 22.5, 11, 16
 
 
 def _size(level: Column) -> Column:
-    return F.lit(COARSEST) / F.pow(F.lit(2.0), level)
-
-
-def _columns(level: Column) -> Column:
-    """Cells around the globe at a level."""
-    return (F.lit(int(360 / COARSEST)) * F.pow(F.lit(2), level)).cast("long")
-
-
-def _cell(degrees: Column, origin: float, level: Column) -> Column:
-    return F.floor((degrees + origin) / _size(level)).cast("long")
-
-
-def _at_all_levels(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    return df.withColumn("level", levels).withColumns(
-        {"cy": _cell(F.col(lat), 90.0, F.col("level")),
-         "cx": F.pmod(_cell(F.col(lon), 180.0, F.col("level")), _columns(F.col("level")))})
-
-
-def _around(df: DataFrame) -> DataFrame:
-    """Each cell and its eight neighbours; longitude wraps, latitude does not."""
-    rows = F.sequence(F.col("cy") - 1, F.col("cy") + 1)
-    cols = F.transform(F.sequence(F.col("cx") - 1, F.col("cx") + 1),
-                       lambda x: F.pmod(x, _columns(F.col("level"))))
-    return df.withColumn("_y", F.explode(rows)).withColumn("_x", F.explode(F.array_distinct(cols))).withColumns(
-        {"cy": F.col("_y"), "cx": F.col("_x")}).drop("_x", "_y")
-
-
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, point_id: str = "mandi_id",
-            lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """The exact k nearest points of every distinct query coordinate: lat, lon, id, distance_km, rank.
-
-    No query meets all points. Each one looks at the finest grid whose 3 x 3 block around it holds k
-    points; the k-th distance there bounds the search, and only cells touching that circle are read.
-    Grids adapt to density, so a cell that holds a third of all points is split until it holds few.
-    Queries with fewer than k points in the coarsest block read every cell, which keeps them exact.
+    return F.lit(COARSEST) / F.pow(F.lit(4.0), level)
+
+
+def _cell(lat: str, lon: str, level: Column) -> tuple[Column, Column]:
+    """Row and column of a coordinate's cell; columns wrap."""
+    around = (F.lit(int(360 / COARSEST)) * F.pow(F.lit(4), level)).cast("long")
+    return (F.floor((F.col(lat) + 90.0) / _size(level)).cast("long"),
+            F.pmod(F.floor((F.col(lon) + 180.0) / _size(level)).cast("long"), around))
+
+
+def _counted_cells(spots: DataFrame) -> DataFrame:
+    """(level, cy, cx, n) of all cells with points, added up from the finest ones."""
+    cy, cx = _cell("_lat", "_lon", F.lit(DEEPEST))
+    finest = spots.groupBy(cy.alias("cy"), cx.alias("cx")).agg(F.count("*").alias("n"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(DEEPEST)))
+    up = F.pow(F.lit(4), F.lit(DEEPEST) - F.col("level")).cast("long")
+    return finest.withColumn("level", level).groupBy(
+        "level", F.floor(F.col("cy") / up).alias("cy"), F.floor(F.col("cx") / up).alias("cx")).agg(F.sum("n").alias("n"))
+
+
+def _edges_km(rows: DataFrame) -> DataFrame:
+    """No point of the cell is nearer than `near` or farther than `far`."""
+    size, lat = _size(F.col("level")), F.radians("q_lat")
+    south = F.col("cy") * size - 90.0
+    north = south + size
+    below, above = south - F.col("q_lat"), F.col("q_lat") - north
+    off = F.pmod(F.col("q_lon") - (F.col("cx") * size - 180.0), F.lit(360.0))
+    aside = F.when(off <= size, 0.0).otherwise(F.least(off - size, F.lit(360.0) - off))
+    dlat = F.greatest(below, above, F.lit(0.0))
+    to_meridian = F.asin(F.least(F.cos(lat) * F.sin(F.radians(F.least(aside, F.lit(90.0)))), F.lit(1.0)))
+    farthest_lat = F.greatest(F.abs(below), F.abs(above), F.abs(F.col("q_lat") - south), F.abs(north - F.col("q_lat")))
+    farthest_lon = F.least(aside + size, F.lit(180.0))
+    edges = F.cos(F.radians(south)), F.cos(F.radians(north))
+    narrowest, widest = F.least(*edges), F.when((south <= 0) & (north >= 0), 1.0).otherwise(F.greatest(*edges))
+
+    def arc(lat_gap: Column, lon_gap: Column, narrow: Column) -> Column:
+        h = F.pow(F.sin(F.radians(lat_gap) / 2), 2) + F.cos(lat) * narrow * F.pow(F.sin(F.radians(lon_gap) / 2), 2)
+        return 2 * F.asin(F.sqrt(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0))))
+
+    # a little more than the rounding of distances
+    return rows.withColumns({
+        "near": F.greatest(arc(dlat, aside, F.greatest(narrowest, F.lit(0.0))), to_meridian) * K.EARTH_RADIUS_KM - 2e-6,
+        "far": arc(farthest_lat, farthest_lon, widest) * K.EARTH_RADIUS_KM + 2e-6})
+
+
+def _still_needed(rows: DataFrame, k: int) -> DataFrame:
+    """Per query the cells whose near edge is within the far edge of the k-th counted point."""
+    query = Window.partitionBy("q_lat", "q_lon")
+    upto = query.orderBy("far", "level", "cy", "cx").rowsBetween(Window.unboundedPreceding, 0)
+    counted = _edges_km(rows).withColumn("_upto", F.sum("n").over(upto))
+    bound = F.min(F.when(F.col("_upto") >= k, F.col("far"))).over(query)
+    return counted.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("near") <= F.col("_bound"))).select(
+        "q_lat", "q_lon", "level", "cy", "cx", "n", "near")
+
+
+def nearest_candidates(queries: DataFrame, points: DataFrame, k: int = 1, point_id: str = "mandi_id",
+                       lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """(q_lat, q_lon, _id, distance_km, _lat, _lon): all points that may be among the k nearest of each distinct query coordinate.
+
+    Queries descend a tree of counted cells together, one join and one window a level. A query keeps the cells that may hold
+    one of its k nearest points and splits those of more than LEAF points, so wherever it lies it ends at small cells. Points
+    are read in the nearest of these with k points first; their k-th distance says in which others points are read at all.
+    The tree's depth follows from the points and is the one number the driver sees.
     """
     spots = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(point_id).alias("_id"), F.col(lat).cast("double").alias("_lat"),
@@ -60,59 +87,56 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, point_id: str = "
     # Of points on the very same coordinate only the k first ids can be among the k nearest.
     stack = Window.partitionBy("_lat", "_lon").orderBy("_id")
     spots = spots.withColumn("_n", F.row_number().over(stack)).where(F.col("_n") <= k).drop("_n")
-    gridded = _at_all_levels(spots, "_lat", "_lon")
-    blocks = (
-        _around(gridded.groupBy("level", "cy", "cx").agg(F.count("*").alias("n")))
-        .groupBy("level", "cy", "cx").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n")
-    )
+    cells = durable(_counted_cells(spots), "cells")
+    crowded = (F.col("n") > LEAF) & (F.col("level") < DEEPEST)
+    deepest = cells.where(crowded).agg(F.max("level")).first()[0]
+    steps = 0 if deepest is None else deepest + 1
+    children = (
+        cells.where(F.col("level").between(1, steps))
+        .groupBy((F.col("level") - 1).alias("level"), F.floor(F.col("cy") / 4).alias("cy"), F.floor(F.col("cx") / 4).alias("cx"))
+        .agg(F.collect_list(F.struct("level", "cy", "cx", "n")).alias("_below"), F.sum("n").alias("_n"))
+        .where(F.col("_n") > LEAF).drop("_n"))
+    # at most 9 x 16 cells lie at the top
+    top = cells.where("level = 0").agg(F.collect_list(F.struct("level", "cy", "cx", "n"))).scalar()
     asked = queries.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(lat).cast("double").alias("q_lat"), F.col(lon).cast("double").alias("q_lon")).distinct()
-    leveled = (
-        _at_all_levels(asked, "q_lat", "q_lon")
-        .join(blocks.withColumn("full", F.lit(True)), ["level", "cy", "cx"], "left")
-        .groupBy("q_lat", "q_lon").agg(F.max(F.when(F.col("full"), F.col("level"))).alias("level"))
-    )
-    distance = F.round(C.haversine_km("q_lat", "q_lon", "_lat", "_lon"), 6)
-    order = Window.partitionBy("q_lat", "q_lon").orderBy("distance_km", "_id")
+    kept = _still_needed(asked.withColumn("_c", F.explode(top)).select("q_lat", "q_lon", "_c.*"), k)
+    for _ in range(steps):
+        own = F.array(F.struct("level", "cy", "cx", "n"))
+        split = kept.drop("near").join(children, ["level", "cy", "cx"], "left").select(
+            "q_lat", "q_lon", F.explode(F.coalesce("_below", own)).alias("_c"))
+        kept = _still_needed(split.select("q_lat", "q_lon", "_c.*"), k)
+    kept = durable(kept, "frontier")
+    placed = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    cy, cx = _cell("_lat", "_lon", F.col("level"))
+    placed = placed.withColumns({"cy": cy, "cx": cx})
+
+    def met(some: DataFrame) -> DataFrame:
+        return some.join(placed, ["level", "cy", "cx"]).withColumn(
+            "distance_km", F.round(C.haversine_km("q_lat", "q_lon", "_lat", "_lon"), 6))
+
+    query = Window.partitionBy("q_lat", "q_lon")
+    before = F.sum("n").over(query.orderBy("near", "level", "cy", "cx").rowsBetween(Window.unboundedPreceding, -1))
+    first = met(kept.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < k))
+    reach = (first.withColumn("_rank", F.row_number().over(query.orderBy("distance_km"))).where(F.col("_rank") == k)
+             .select("q_lat", "q_lon", F.col("distance_km").alias("_reach")))
+    near_enough = F.col("_reach").isNull() | (F.col("near") <= F.col("_reach"))
+    return met(kept.join(reach, ["q_lat", "q_lon"], "left").where(near_enough)).select(
+        "q_lat", "q_lon", "_id", "distance_km", "_lat", "_lon")
 
-    block = _around(leveled.where(F.col("level").isNotNull()).withColumns(
-        {"cy": _cell(F.col("q_lat"), 90.0, F.col("level")),
-         "cx": F.pmod(_cell(F.col("q_lon"), 180.0, F.col("level")), _columns(F.col("level")))}))
-    bound = (
-        block.join(gridded, ["level", "cy", "cx"])
-        .withColumn("distance_km", distance).withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= k).groupBy("q_lat", "q_lon").agg(F.max("distance_km").alias("bound_km"))
-    )
-    searched = leveled.join(bound, ["q_lat", "q_lon"], "left").withColumn(
-        "level", F.coalesce("level", F.lit(0)))
-    candidates = _cells_within(searched).join(gridded, ["level", "cy", "cx"]).withColumn("distance_km", distance)
-    reach = F.coalesce("bound_km", F.lit(2 * K.EARTH_RADIUS_KM * 3.2))
+
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, point_id: str = "mandi_id",
+            lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """The exact k nearest points of every distinct query coordinate: q_lat, q_lon, id, distance_km, rank."""
+    order = Window.partitionBy("q_lat", "q_lon").orderBy("distance_km", "_id")
     return (
-        candidates.where(F.col("distance_km") <= reach)
+        nearest_candidates(queries, points, k, point_id, lat, lon)
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("q_lat", "q_lon", F.col("_id").alias(point_id), F.col("_lat").alias("p_lat"),
                 F.col("_lon").alias("p_lon"), "distance_km", "rank")
     )
 
 
-def _cells_within(searched: DataFrame) -> DataFrame:
-    """The cells at each query's level that its search circle can touch."""
-    level, lat, lon = F.col("level"), F.radians("q_lat"), F.col("q_lon")
-    angle = F.coalesce(F.col("bound_km"), F.lit(K.EARTH_RADIUS_KM * 3.2)) / F.lit(K.EARTH_RADIUS_KM) + 1e-9
-    # A circle that reaches a pole spans all longitudes.
-    open_circle = F.abs(lat) + angle < F.lit(1.5707)
-    half_width = F.when(open_circle, F.degrees(F.asin(F.least(F.sin(angle) / F.cos(lat), F.lit(1.0)))))
-    south = F.greatest(F.col("q_lat") - F.degrees(angle), F.lit(-90.0))
-    north = F.least(F.col("q_lat") + F.degrees(angle), F.lit(90.0))
-    rows = F.sequence(_cell(south, 90.0, level), _cell(north, 90.0, level))
-    west, east = _cell(lon - half_width, 180.0, level), _cell(lon + half_width, 180.0, level)
-    every = F.sequence(F.lit(0).cast("long"), _columns(level) - 1)
-    some = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + _columns(level) - 1)),
-                                        lambda x: F.pmod(x, _columns(level))))
-    cols = F.when(half_width.isNull(), every).otherwise(some)
-    return searched.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(cols))
-
-
 def nearest_join(queries: DataFrame, points: DataFrame, k: int = 1, point_id: str = "mandi_id",
                  lat: str = "latitude", lon: str = "longitude", exclude_id: str | None = None,
                  prefix: str = "near_") -> DataFrame:

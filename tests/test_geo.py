@@ -48,6 +48,29 @@ def test_matches_brute_force_round_the_globe(spark):
     check(spark, points, queries, 3)
 
 
+def test_a_query_beside_a_town_meets_few_of_its_points(spark):
+    rng = random.Random(8)
+    town = {f"t{i:04}": (20 + rng.gauss(0, 0.02), 75 + rng.gauss(0, 0.02)) for i in range(4000)}
+    village = {f"v{i}": (21 + i / 100, 76.0) for i in range(3)}
+    queries = {"beside": (20.3, 75.2), "inside": (20.001, 75.001), "far": (-30.0, 10.0)}
+    points = table(spark, town | village)
+    asked = table(spark, queries, "q")
+    met = {(r["q_lat"], r["q_lon"]): r["count"] for r in geo.nearest_candidates(asked, points, 5).groupBy("q_lat", "q_lon").count().collect()}
+    assert set(met) == set(queries.values()) and all(5 <= n <= 0.05 * 4000 for n in met.values()), met
+    check(spark, town | village, queries | {"opposite": (-20.5, -104.0)}, 5)
+
+
+def test_many_points_within_a_few_metres(spark):
+    rng = random.Random(9)
+    points = {f"p{i:03}": (10 + rng.uniform(0, 4e-6), 70 + rng.uniform(0, 4e-6)) for i in range(200)}
+    check(spark, points, {"q": (10.0, 70.0), "r": (11.0, 70.0)}, 3)
+
+
+def test_no_points_and_no_queries(spark):
+    some, none = table(spark, {"a": (10.0, 70.0)}), table(spark, {"a": (10.0, 70.0)}).where("false")
+    assert geo.nearest(some, none, 2).collect() == [] and geo.nearest(none, some, 2).collect() == []
+
+
 def test_fewer_points_than_asked(spark):
     check(spark, {"a": (10.0, 70.0), "b": (11.0, 71.0)}, {"q": (10.0, 70.5)}, 5)
 
