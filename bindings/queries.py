@@ -1265,4 +1265,4 @@ def _(spark, d):
     rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(parts)
     query = jobs.refresh_snapshot(rows, out, scratch_path(spark, "snapshot-checkpoint"), keys=("user_id", "event_type"), at="ts")
     query.awaitTermination()
-    return spark.read.parquet(jobs.last_version(out, query))
+    return jobs.read_snapshot(spark, out, jobs.last_version(query))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import columns as C
 from granary.operators.joins import attach_scalar
 from granary.operators.quantiles import exact_quantiles
+from granary.session import durable
 
 LOSSES = ("pinball_q10", "pinball_q50", "pinball_q90", "rmse", "mape")
 
@@ -17,6 +18,7 @@ LOSSES = ("pinball_q10", "pinball_q50", "pinball_q90", "rmse", "mape")
 def forecast_metrics(df: DataFrame, keys: Sequence[str], actual: str = "y", low: str = "q10",
                      middle: str = "q50", high: str = "q90") -> DataFrame:
     """Pinball per quantile, RMSE, MAPE, coverage and width of the 80% interval."""
+    df = durable(df.select(*keys, *dict.fromkeys((actual, low, middle, high))), "forecasts")
     y, mid = F.col(actual), F.col(middle)
     size = F.abs(y)
     summary = df.groupBy(*keys).agg(

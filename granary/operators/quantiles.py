@@ -1,9 +1,9 @@
 """Exact interpolated quantiles of groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. Here a
-sketch first brackets each wanted rank, then only the values inside the brackets are ranked; all others
-collapse to counts before the exchange. A group with most of the rows sends one task under a thousandth
-of its values per wanted quantile.
+The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. Here the values are staged
+once, a sketch brackets each wanted rank, and everything outside the brackets collapses to counts before the exchange. What is
+left is dealt over range partitions of (group, value); each partition counts from its own start, and the counts of the
+partitions before it, a handful of numbers a group, turn places into ranks. So no task ever orders a whole group.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import durable
+
 ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float],
                     accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with one column per wanted quantile, linear between neighbouring ranks."""
-    known = df.where(F.col(value).isNotNull()).select(
+    known = durable(df.where(F.col(value).isNotNull()).select(
         F.struct(*([F.col(k) for k in keys] or [F.lit(0).alias("all")])).alias("_g"),
-        F.col(value).cast("double").alias("_v"))
+        F.col(value).cast("double").alias("_v")), "values")
     # A sketch rank is off by at most total / accuracy, and in groups over `accuracy` rows the two
     # neighbouring ranks are closer than that too, so four such steps either side hold both.
     margin = 4.0 / accuracy
@@ -48,9 +50,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapp
         F.when(small, F.lit(0)).otherwise(passed).alias("_slot"),
         F.when(inside, F.col("_v")).alias("_v"),
     ).agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy("_g").orderBy("_slot", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_last", F.sum("_n").over(so_far) - 1).withColumn(
-        "_first", F.col("_last") - F.col("_n") + 1).where(F.col("_v").isNotNull())
+    # Written once, as another run could cut the ranges elsewhere.
+    ranged = durable(counted.repartitionByRange("_g", "_slot", "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_g", "_p").agg(F.sum("_n").alias("_s")).groupBy("_g").agg(
+        F.sort_array(F.collect_list(F.struct("_p", "_s"))).alias("_parts"))
+    before = F.transform("_parts", lambda part, i: F.struct(
+        part["_p"].alias("_p"), F.aggregate(F.slice("_parts", 1, i), F.lit(0).cast("long"), lambda total, x: total + x["_s"]).alias("_before")))
+    offsets = sums.select("_g", F.inline(before))
+    in_part = Window.partitionBy("_g", "_p").orderBy("_slot", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("_upto", F.sum("_n").over(in_part)).where(F.col("_v").isNotNull()).join(
+        offsets, ["_g", "_p"]).withColumn("_last", F.col("_before") + F.col("_upto") - 1).withColumn(
+        "_first", F.col("_last") - F.col("_n") + 1)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))

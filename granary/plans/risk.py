@@ -12,6 +12,7 @@ from granary.functions import constants as K
 from granary.operators.joins import attach_scalar
 from granary.operators.metrics import confusion
 from granary.operators.quantiles import exact_quantiles
+from granary.session import durable
 
 
 def tier(commodity: Column | str) -> Column:
@@ -83,6 +84,7 @@ def loan_amount(requested: Column | str, ltv: Column | str, price: Column | str,
 
 def label_high_risk(df: DataFrame) -> DataFrame:
     """1 where volatility and uncertainty both exceed their medians."""
+    df = durable(df, "unlabelled")
     medians = exact_quantiles(df, [], "price_cv", {"_m_cv": 0.5})
     out = attach_scalar(df, medians)
     if "forecast_uncertainty" in df.columns:
@@ -95,8 +97,8 @@ def label_high_risk(df: DataFrame) -> DataFrame:
 
 def evaluate_decisions(df: DataFrame) -> DataFrame:
     """Rejections against the proxy label: one row with the confusion matrix, rates and averages."""
-    scored = score_risk(label_high_risk(df)).withColumn(
-        "predicted_high_risk", C.flag(F.col("decision") == "REJECT"))
+    scored = durable(score_risk(label_high_risk(df)).withColumn(
+        "predicted_high_risk", C.flag(F.col("decision") == "REJECT")), "scored")
     quality = confusion(scored, "predicted_high_risk", "synthetic_high_risk")
     averages = scored.agg(
         F.avg("risk_score").alias("avg_risk_score"), F.avg("recommended_ltv").alias("avg_recommended_ltv"),

@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from granary.operators.dedup import latest_per_key
+from granary.session import remove
 
 LOG_SCHEMA = (
     "request_id string, timestamp timestamp, duration_ms double, request string, mandi_id string, "
@@ -152,19 +154,68 @@ def merge_snapshot(current: DataFrame | None, rows: DataFrame, keys: Sequence[st
     return latest_per_key(both, keys, at, [F.desc_nulls_last(c) for c in both.columns if c not in (*keys, at)])
 
 
-def last_version(path: str, query: StreamingQuery) -> str:
-    """Folder of the newest version a finished refresh has written."""
-    return f"{path}/v{max(p['batchId'] for p in query.recentProgress)}"
+def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A version of the snapshot: the folders that its manifest names, one for each bucket."""
+    folders = [r["folder"] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v{version}").collect()]
+    return spark.read.parquet(*folders)
+
+
+def last_version(query: StreamingQuery) -> int:
+    """The newest version a finished refresh has written."""
+    return max(p["batchId"] for p in query.recentProgress)
+
+
+MANIFEST = "bucket int, version long, folder string"
 
 
 def refresh_snapshot(rows: DataFrame, path: str, checkpoint: str, once: bool = True,
-                     keys: Sequence[str] = ("mandi_id", "commodity"), at: str = "date") -> StreamingQuery:
-    """Keep a versioned snapshot up to date. A batch writes the version with its own number from the one
-    before, so a repeated batch overwrites its own output and nothing else."""
+                     keys: Sequence[str] = ("mandi_id", "commodity"), at: str = "date", buckets: int = 64,
+                     keep: int = 2) -> StreamingQuery:
+    """Keep a versioned snapshot up to date. Keys fall into hash buckets, and a batch rewrites only the buckets it touches.
+
+    A batch writes its buckets into a folder of its own number, then a manifest that names the folder of every bucket, its own
+    and those of earlier batches. A repeated batch starts from the manifest before it and overwrites its own files only, so it
+    gives the same version. Folders that none of the `keep` newest manifests name are deleted after the new one is written.
+    `buckets` is fixed for the life of a snapshot.
+    """
+    if keep < 2:
+        raise ValueError("a repeated batch reads the version before it")
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        current = spark.read.parquet(f"{path}/v{number - 1}") if number > 0 else None
-        merge_snapshot(current, batch, keys, at).write.mode("overwrite").parquet(f"{path}/v{number}")
+        bucket = F.pmod(F.hash(*keys), F.lit(buckets)).alias("bucket")
+        new = batch.select("*", bucket).persist()
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+        known = ({r["bucket"]: r for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v{number - 1}").collect()}
+                 if number > 0 else {})
+        held = [known[b]["folder"] for b in touched if b in known]
+        current = spark.read.parquet(*held).withColumn("bucket", bucket) if held else None
+        if touched:
+            merged = merge_snapshot(current, new, (*keys, "bucket"), at)
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v{number}")
+        new.unpersist()
+        rows = [(b, number, f"{path}/data/v{number}/bucket={b}") for b in touched]
+        rows += [tuple(r) for b, r in known.items() if b not in set(touched)]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{number}")
+        expire(spark, known, touched, number)
+
+    def expire(spark: SparkSession, known: dict, touched: list[int], number: int) -> None:
+        gone = number - keep
+        if gone < 0:
+            return
+        kept = set()
+        for version in range(gone + 1, number + 1):
+            kept |= {r["folder"] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v{version}").collect()}
+        try:
+            old = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v{gone}").collect()
+        except AnalysisException as error:  # a repeated batch that had already got this far
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        for r in old:
+            if r["folder"] not in kept:
+                remove(spark, r["folder"])
+        remove(spark, f"{path}/manifest/v{gone}")
 
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

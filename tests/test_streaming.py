@@ -42,22 +42,64 @@ def test_rate_audit_matches_a_plain_window(spark):
     assert sum(r["requests"] for r in got) == 640
 
 
-def test_snapshot_keeps_the_latest(spark, tmp_path):
-    schema = "mandi_id string, commodity string, date date, modal_price double, target_price_7d double"
+SNAPSHOT = "mandi_id string, commodity string, date date, modal_price double, target_price_7d double"
+
+
+def feed(spark, tmp_path, *rows, **settings):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    spark.createDataFrame([(m, "W", d.date(), p, 1.0) for m, d, p in rows], SNAPSHOT).coalesce(1).write.mode("append").parquet(source)
+    query = jobs.refresh_snapshot(spark.readStream.schema(SNAPSHOT).parquet(source), out, mark, **settings)
+    query.awaitTermination()
+    return out, jobs.last_version(query)
+
 
-    def feed(*rows):
-        spark.createDataFrame([(m, "W", d.date(), p, 1.0) for m, d, p in rows], schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        jobs.refresh_snapshot(stream, out, mark).awaitTermination()
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
 
-    feed(("A", T0, 1.0), ("B", T0, 2.0))
-    feed(("A", T0 + timedelta(days=1), 3.0), ("B", T0 - timedelta(days=1), 9.0))
-    got = rows_of(spark.read.parquet(f"{out}/v1"), "mandi_id")
-    assert [(r["mandi_id"], r["modal_price"]) for r in got] == [("A", 3.0), ("B", 2.0)]
+
+def test_snapshot_keeps_the_latest(spark, tmp_path):
+    feed(spark, tmp_path, ("A", T0, 1.0), ("B", T0, 2.0))
+    out, version = feed(spark, tmp_path, ("A", T0 + timedelta(days=1), 3.0), ("B", T0 - timedelta(days=1), 9.0))
+    got = rows_of(jobs.read_snapshot(spark, out, version), "mandi_id")
+    assert version == 1 and [(r["mandi_id"], r["modal_price"]) for r in got] == [("A", 3.0), ("B", 2.0)]
     assert "target_price_7d" not in got[0]
 
 
+def test_snapshot_rewrites_only_touched_buckets_and_drops_old_versions(spark, tmp_path):
+    markets = [f"M{i}" for i in range(12)]
+    feed(spark, tmp_path, *[(m, T0, 1.0) for m in markets], buckets=4)
+    first = files(tmp_path / "out" / "data")
+    out, version = feed(spark, tmp_path, ("M3", T0 + timedelta(days=1), 5.0), buckets=4)
+    second = files(tmp_path / "out" / "data")
+    assert first.items() <= second.items()  # the version before is whole, nothing of it was written again
+    assert len({f.split("/")[1] for f in second if f.startswith("v1/")}) == 1
+    latest = {r["mandi_id"]: r["modal_price"] for r in jobs.read_snapshot(spark, out, version).collect()}
+    assert latest == {m: 5.0 if m == "M3" else 1.0 for m in markets}
+    assert {r["modal_price"] for r in jobs.read_snapshot(spark, out, 0).collect()} == {1.0}
+    out, version = feed(spark, tmp_path, ("M3", T0 + timedelta(days=2), 6.0), buckets=4)
+    third = files(tmp_path / "out" / "data")
+    mine = next(f.split("/")[1] for f in second if f.startswith("v1/"))
+    assert version == 2 and not any(f.startswith(f"v0/{mine}/") for f in third)  # only version 0 named that bucket's first files
+    assert {k: v for k, v in first.items() if f"/{mine}/" not in k}.items() <= third.items()
+    assert {r["mandi_id"]: r["modal_price"] for r in jobs.read_snapshot(spark, out, 2).collect()} == latest | {"M3": 6.0}
+    assert {r["mandi_id"]: r["modal_price"] for r in jobs.read_snapshot(spark, out, 1).collect()} == latest
+
+
+def test_a_repeated_batch_gives_the_same_version(spark, tmp_path):
+    import shutil
+
+    feed(spark, tmp_path, ("A", T0, 1.0), ("B", T0, 2.0), buckets=4)
+    out, version = feed(spark, tmp_path, ("A", T0 + timedelta(days=1), 3.0), buckets=4)
+    want = sorted(map(tuple, jobs.read_snapshot(spark, out, version).collect()))
+    # as if the stream had been killed after it wrote, before it noted the batch as done
+    (tmp_path / "mark" / "commits" / "1").unlink()
+    (tmp_path / "mark" / "commits" / ".1.crc").unlink(missing_ok=True)
+    shutil.rmtree(tmp_path / "out" / "manifest" / "v1")
+    stream = spark.readStream.schema(SNAPSHOT).parquet(str(tmp_path / "in"))
+    jobs.refresh_snapshot(stream, out, str(tmp_path / "mark"), buckets=4).awaitTermination()
+    assert sorted(map(tuple, jobs.read_snapshot(spark, out, 1).collect())) == want
+
+
 def streamed(spark, tmp_path, *batches, **settings):
     """Rows that the rate stream gives out, each batch of (client, seconds) arriving as a run of its own."""
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
