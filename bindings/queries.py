@@ -1190,6 +1190,50 @@ def _(spark, d):
     return joins.join_zone(V.locations(spark, d), zones).select("mandi_id", "agro_climatic_zone")
 
 
+@check("s2_file_names", """
+SELECT replace(state, ' ', '-') AS state, mandi_name AS warehouse_name, CAST(market_code AS VARCHAR) AS capacity_mt FROM locations""")
+def _(spark, d):
+    path, rows = scratch_path(spark, "warehouses"), V.locations(spark, d)
+    # A file per state and header; the state is in the file's name, with its hyphens, and in a column that is not read.
+    for half, names in enumerate((("Warehouse Name", "Capacity(MT)"), ("wh_name", "capacityin_mt"))):
+        mine = rows.where(F.col("market_code") % 2 == half)
+        sinks.write_named_csvs(mine.select(F.col("mandi_name").alias(names[0]), F.col("market_code").alias(names[1]),
+                                           F.col("state").alias("held")), path,
+                               F.concat(F.lit(f"wdra{half}-"), F.translate("held", " ", "-"), F.lit(".csv")))
+    read = tables.read_csv_by_name(spark, path, r"^wdra[01]-(.+)\.csv$", "state", K.WAREHOUSE_COLUMNS)
+    return read.select("state", "warehouse_name", "capacity_mt")
+
+
+@check("s6_history_files", """
+SELECT mandi_name AS market_center, CASE WHEN market_code % 2 = 0 THEN state END AS state_name,
+  CAST(market_code AS VARCHAR) AS modal_price, 1 AS unreadable FROM locations""")
+def _(spark, d):
+    path, rows = scratch_path(spark, "history"), V.locations(spark, d)
+    even, odd = (rows.where(F.col("market_code") % 2 == half) for half in (0, 1))
+    sinks.write_named_csvs(even.select(F.col("state").alias("State"), F.col("mandi_name").alias("Market"),
+                                       F.col("market_code").alias("Modal Price (Rs/Quintal)")), path, F.concat(F.col("State"), F.lit(".csv")))
+    sinks.write_named_csvs(odd.select(F.col("mandi_name").alias("market_name"), F.col("market_code").alias("prices"),
+                                      F.lit("z").alias("extra")), path, F.concat(F.lit("extra-"), F.col("prices") % 5, F.lit(".CSV")))
+    system, place = tables.file_system(path)
+    with system.open_output_stream(f"{place}/broken.csv") as file:
+        file.write(b"\xff\xfe\x00State,Market\n")
+    read, unreadable = tables.read_history_csvs(spark, path)
+    return read.select("market_center", "state_name", "modal_price", F.lit(len(unreadable)).alias("unreadable"))
+
+
+@check("s7_pick_file", """
+SELECT 'name' AS by, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders WHERE o_orderpriority = (SELECT max(o_orderpriority) FROM orders)
+UNION ALL SELECT 'size', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = (
+  SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderpriority) + 4) DESC, 1 LIMIT 1)""")
+def _(spark, d):
+    path = scratch_path(spark, "orders-files")
+    sinks.write_named_csvs(V.table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path,
+                           F.concat(F.lit("orders-"), F.translate("o_orderpriority", " ", "_"), F.lit(".csv")))
+    return tables.union_all([
+        tables.read_csv_text(spark, tables.pick_file(spark, path, "orders-*.csv", by)).select(F.lit(by).alias("by"), "o_orderkey")
+        for by in ("name", "size")])
+
+
 @check("s10_by_state", "SELECT mandi_id, district, replace(replace(state, ' ', '_'), '/', '-') AS state FROM locations")
 def _(spark, d):
     path = scratch_path(spark, "by-state")

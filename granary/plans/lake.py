@@ -17,7 +17,7 @@ from granary.operators.dedup import location_violations, require_no_violations
 from granary.plans import boosting, clean, evaluation, features, scoring
 from granary.session import durable
 from granary.sources import sinks
-from granary.sources.tables import lake_path, read_csv_by_name, read_csv_text, read_dataset, read_history_csvs
+from granary.sources.tables import lake_path, pick_file, read_csv_by_name, read_csv_text, read_dataset, read_history_csvs
 
 
 class Lake:
@@ -74,7 +74,14 @@ class Lake:
         sinks.write_flat(clean.clean_consumer_index(self.raw("cpi")), self.path("silver", "cpi"), by=["date", "state", "item"])
 
     def loans(self) -> None:
-        sinks.write_flat(clean.clean_loans(self.raw("loans")), self.path("silver", "loans"))
+        """The table of loans; where there is none, the largest file of the loan folder. Its header says which dialect it is."""
+        try:
+            source = self.raw("loans")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            source = read_csv_text(self.spark, pick_file(self.spark, self.path("raw", "loan_files"), "*.csv", by="size"))
+        sinks.write_flat(clean.clean_loans(source), self.path("silver", "loans"))
 
     def anomaly(self) -> None:
         """Current readings against the baseline years, matched to every market day."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+import io
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
-from py4j.protocol import Py4JJavaError
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,28 +52,75 @@ def read_history_csvs(spark: SparkSession, folder: str) -> tuple[DataFrame, list
     return union_all(frames), unreadable
 
 
+#: Bytes of a file that are read for its header line, and files that one task reads headers of.
+HEADER_BYTES, FILES_PER_TASK = 1 << 16, 200
+
+
+def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, header, error) of every CSV file below a folder: one distributed job that opens each file's first block only.
+
+    Header names are null for an empty file; error says why a file cannot be read (it cannot be opened, is not UTF-8, or its
+    header line does not end within HEADER_BYTES).
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,CSV}")
+             .option("recursiveFileLookup", True).load(folder).select("path"))
+    tasks = -(-files.count() // FILES_PER_TASK) or 1
+    schema = "path string, header array<string>, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            found = [_header(p) for p in paths]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array([h for h, _ in found], pa.list_(pa.string())),
+                 pa.array([e for _, e in found], pa.string())], ["path", "header", "error"])
+
+    return files.repartition(tasks, "path").mapInArrow(run, schema)
+
+
+def _header(path: str) -> tuple[list[str] | None, str | None]:
+    try:
+        system, place = file_system(path)
+        with system.open_input_stream(place) as source:
+            block = source.read(HEADER_BYTES)
+        if not block:
+            return None, None
+        if len(block) == HEADER_BYTES and b"\n" not in block:
+            return None, "no header line"
+        whole = block[:block.rindex(b"\n")] if b"\n" in block else block
+        return next(csv.reader(io.StringIO(whole.decode("utf-8-sig"))), None), None
+    except (OSError, UnicodeDecodeError, csv.Error) as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    local = path.removeprefix("file:")
+    if local != path or path.startswith("/"):
+        return pafs.LocalFileSystem(), unquote("/" + local.lstrip("/"))
+    return pafs.FileSystem.from_uri(path)
+
+
 def _frames_by_header(spark: SparkSession, folder: str, unreadable: list[str] | None = None) -> list[DataFrame]:
-    """One scan per distinct header; only header lines and file names reach the driver.
+    """One scan per distinct header; only headers and paths reach the driver.
 
     A file that cannot be read fails the job, unless a list is given to take its path.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,CSV}")
-        .option("recursiveFileLookup", True).load(folder).select("path").orderBy("path")
-    )
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in files.toLocalIterator():
-        try:
-            header = tuple(reader.csv(row["path"]).columns)
-        except (AnalysisException, Py4JJavaError):
-            if unreadable is None:
-                raise
-            unreadable.append(row["path"])
-            continue
-        if header:
-            by_header.setdefault(header, []).append(row["path"])
-    return [reader.csv(paths) for _, paths in sorted(by_header.items())]
+    headers = csv_headers(spark, folder).groupBy("header", F.col("error").isNotNull().alias("bad")).agg(
+        F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    bad = sorted(p for row in headers if row["bad"] for p in row["paths"])
+    if bad and unreadable is None:
+        raise OSError(f"unreadable: {', '.join(bad[:5])}")
+    if unreadable is not None:
+        unreadable += bad
+    return [_read_alike(spark, row["header"], row["paths"]) for row in headers if row["header"] and not row["bad"]]
+
+
+def _read_alike(spark: SparkSession, header: list[str], paths: list[str]) -> DataFrame:
+    """Files of one header in one scan; empty and repeated names get the place of their column."""
+    names = [h if h and header.count(h) == 1 else f"{h or '_c'}{i}" for i, h in enumerate(header)]
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(
+        T.StructType([T.StructField(n, T.StringType()) for n in names])).csv([unquote(p) for p in paths])
 
 
 def read_dataset(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -22,11 +22,28 @@ def test_history_files_skip_the_unreadable(spark, tmp_path):
     (tmp_path / "a.csv").write_text("State,Market,Modal Price (Rs/Quintal)\nGoa,X,10\n")
     (tmp_path / "b.CSV").write_text("market_name,prices,extra\nY,20,z\n")
     (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_bytes(b"\xff\xfe\x00state,x\n1,2\n")
+    (tmp_path / "e.csv").write_text("x" * (tables.HEADER_BYTES + 1))
     got, unreadable = tables.read_history_csvs(spark, str(tmp_path))
-    assert unreadable == []
+    assert [p.rsplit("/", 1)[1] for p in unreadable] == ["d.csv", "e.csv"]
     assert sorted((r["market_center"], r["modal_price"], r["state_name"]) for r in got.collect()) == [("X", "10", "Goa"), ("Y", "20", None)]
 
 
+def test_headers_are_read_in_one_job_and_grouped(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"x-{i} a.csv").write_text(("a,b\n" if i % 2 else 'b,"a, too",b,\n') + f"{i},2,3,4\n")
+    found = tables.csv_headers(spark, str(tmp_path))
+    assert found.where("error is null").count() == 30 and found.select("header").distinct().count() == 2
+    frames = tables._frames_by_header(spark, str(tmp_path))
+    assert [f.columns for f in frames] == [["a", "b"], ["b0", "a, too", "b2", "_c3"]] and [f.count() for f in frames] == [15, 15]
+
+
+def test_an_unreadable_file_fails_a_strict_read(spark, tmp_path):
+    (tmp_path / "w-Goa.csv").write_bytes(b"\xff\xfe,b\n")
+    with pytest.raises(OSError, match="w-Goa"):
+        tables.read_csv_by_name(spark, str(tmp_path), r"w-(.+)\.csv", "state")
+
+
 def test_partitioned_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("A B/C", 1), (None, 2), ("007", 3)], "state string, v int")
     sinks.write_by_state(df, str(tmp_path / "t"))
