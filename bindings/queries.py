@@ -957,11 +957,11 @@ def _(spark, d):
               "forecast_uncertainty risk_score_proxy recommended_max_ltv", r4="mandi_std_price ndvi_anomaly")
 
 
-def _request_columns(df: DataFrame) -> DataFrame:
+def _request_columns(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "request_id", "status", "mandi_id", "resolution_type", "mandi_distance_km", "commodity", "forecast_method",
         F.col("forecast")["30d"]["high"].alias("high_30d"), "risk_score", "decision", "recommended_ltv_pct",
-        "recommended_loan_amount", "modal_price")
+        "recommended_loan_amount", "modal_price", *more)
 
 
 _req = f"""
@@ -1000,7 +1000,21 @@ def _(spark, d):
     return _request_columns(scoring.score_requests(V.requests(spark, d), V.locations(spark, d), snapshot(spark, d)))
 
 
-@check("c15_scoring_live_weather")
+S.VIEWS["judged_live"] = S.VIEWS["judged"].replace("WHEN NOT found THEN", "WHEN NOT found AND NOT live THEN").replace(
+    "WHEN price_mean_30d IS NULL THEN", "WHEN price_mean_30d IS NULL AND NOT live THEN").replace("FROM found)", """FROM (
+  SELECT *, client % 3 <> 0 AND client IN (SELECT user_id FROM user_days WHERE t > -900) AS live FROM found))""")
+
+
+@check("c15_scoring_live_weather", f"""
+SELECT request_id, status, mandi_id, resolution_type, mandi_distance_km, commodity,
+  CASE WHEN price_mean_30d IS NULL THEN 'insufficient_data' ELSE 'historical_percentile_fallback' END AS forecast_method,
+  CASE WHEN status = 'ok' THEN round(price_mean_30d + sd * {1.28 * 1.5!r}e0, 2) END AS high_30d,
+  CASE WHEN status = 'ok' THEN round(risk_score, 4) END AS risk_score, CASE WHEN status = 'ok' THEN decision END AS decision,
+  CASE WHEN status = 'ok' THEN recommended_ltv_pct END AS recommended_ltv_pct,
+  CASE WHEN status = 'ok' AND requested_loan_amount <> 0 THEN
+    round(least(requested_loan_amount, recommended_ltv_pct / 100 * coalesce(modal_price, 0) * quantity_kg), 2) END AS recommended_loan_amount,
+  CASE WHEN status = 'ok' THEN coalesce(modal_price, 0) END AS modal_price, live AS live_weather_used, true AS forecast_weather_used
+FROM judged_live""")
 def _(spark, d):
     asked = V.requests(spark, d)
     users = asked.select("request_id", F.col("client").cast("string").alias("_u"))
@@ -1008,9 +1022,48 @@ def _(spark, d):
     def per_request(df: DataFrame) -> DataFrame:
         return df.withColumnRenamed("request_id", "_u").join(users, "_u").drop("_u")
 
-    live = per_request(scoring.live_weather(V.history_payloads(spark, d)))
+    # a third of the clients send no readings
+    live = per_request(scoring.live_weather(V.history_payloads(spark, d)).where(F.col("request_id").cast("long") % 3 != 0))
     ahead = per_request(scoring.outlook(V.forecast_payloads(spark, d)))
-    return _request_columns(scoring.score_requests(asked, V.locations(spark, d), snapshot(spark, d), None, live, ahead))
+    return _request_columns(scoring.score_requests(asked, V.locations(spark, d), snapshot(spark, d), None, live, ahead),
+                            "live_weather_used", "forecast_weather_used")
+
+
+_answer = ", ".join([
+    *[f"round(price_mean_30d + {sign} * sd * {1.28 * (1 + h / 30 * 0.5)!r}e0, 2) AS {name}_{h}d"
+      for h in K.HORIZONS for name, sign in (("low", -1), ("median", 0), ("high", 1))],
+    *[f"round({weight}e0 * {value} * 100, 1) AS share_{name}" for (name, weight), value in zip(K.RISK_WEIGHTS.items(), (
+        "least(1e0, greatest(0e0, cv))", "width", "0.6e0", "CASE warehouse_grade WHEN 'A' THEN 0e0 WHEN 'C' THEN 1e0 ELSE 0.5e0 END",
+        S.TIER.format(c="commodity"), "CASE season WHEN 'Kharif' THEN 1e0 WHEN 'Zaid' THEN 0.5e0 ELSE 0e0 END"))],
+    *[f"{weight}e0 AS weight_{name}" for name, weight in K.RISK_WEIGHTS.items()]])
+
+
+@check("n5_nested_answer", f"""
+SELECT request_id, {_answer}, round(cv, 4) AS price_cv, round(width, 4) AS forecast_uncertainty, CAST(2 AS INTEGER) AS n_warehouses,
+  CASE WHEN warehouse_grade IN ('A', 'B', 'C') THEN warehouse_grade ELSE 'B' END AS warehouse_grade,
+  round({S.TIER.format(c="commodity")}, 4) AS commodity_tier, season, {K.APPROVE_BELOW}e0 AS approve, {K.REJECT_FROM}e0 AS reject FROM (
+  SELECT *, coalesce(CASE WHEN price_mean_7d > 0 AND price_std_7d <> 0 THEN price_std_7d / price_mean_7d END, 0.1e0) AS cv,
+    coalesce(CASE WHEN round(price_mean_30d, 2) > 0 THEN greatest(0e0, least(1e0,
+      (round(price_mean_30d + sd * {1.28 * (1 + 7 / 30 * 0.5)!r}e0, 2) - round(price_mean_30d - sd * {1.28 * (1 + 7 / 30 * 0.5)!r}e0, 2))
+      / (2 * round(price_mean_30d, 2)))) END, 0.3e0) AS width, {S.SEASON.format(m="coalesce(month, 6)")} AS season
+  FROM judged WHERE status = 'ok')""")
+def _(spark, d):
+    """The answers as they stand in JSON, taken apart again."""
+    made = scoring.score_requests(V.requests(spark, d), V.locations(spark, d), snapshot(spark, d)).where("status = 'ok'")
+    said = made.select("request_id", F.to_json(F.struct("forecast")).alias("said"), "explanation")
+
+    def number(column: str, path: str):
+        return F.get_json_object(column, path).cast("double")
+
+    return said.select(
+        "request_id",
+        *[number("said", f"$.forecast.{h}d.{n}").alias(f"{n}_{h}d") for h in K.HORIZONS for n in ("low", "median", "high")],
+        *[number("explanation", f"$.feature_importance.{n}").alias(f"share_{n}") for n in K.RISK_WEIGHTS],
+        *[number("explanation", f"$.weights.{n}").alias(f"weight_{n}") for n in K.RISK_WEIGHTS],
+        *[number("explanation", f"$.components.{n}").alias(n) for n in ("price_cv", "forecast_uncertainty", "commodity_tier")],
+        number("explanation", "$.components.n_warehouses").cast("int").alias("n_warehouses"),
+        *[F.get_json_object("explanation", f"$.components.{n}").alias(n) for n in ("warehouse_grade", "season")],
+        *[number("explanation", f"$.thresholds.{n}").alias(n) for n in ("approve", "reject")])
 
 
 @check("m4_boost", "SELECT commodity, count(*) AS n, count(*) AS n_ordered, true AS better_than_start FROM panel GROUP BY 1")
