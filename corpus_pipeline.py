@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +17,27 @@ from granary.session import durable
 BROADCAST_IDS = 1_000_000
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_columns(stage: Stage) -> Stage:
+    """The stage with columns other than doc_id and text under numbered names, so that no name of theirs can disturb it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        numbered = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, numbered, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@any_columns
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that no quality rule rejects."""
     return quality_rules.keep_good(docs)
 
 
+@any_columns
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are good with enough probability; all rows if nothing is rated."""
     model = ordinal.fit(docs, ordinal.ratings(spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -27,24 +45,34 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rated.filter(ordinal.keeps(F.col("__tail"))).select(*docs.columns)
 
 
+@any_columns
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8 or more).
 
-    Of rows with one doc_id the smallest by all columns stays. Rows without doc_id stay.
+    Of rows with one doc_id the first one stays, in the order of all columns as JSON. Rows without doc_id are documents like
+    others: they come after all that have one, in an order that their text decides, and count as one if their texts are equal.
+    Rows without words are not compared; of several with one doc_id, or with none and one text, one stays.
     """
-    found = durable(near_dups.near_duplicates(docs, k=5, threshold=0.8), "near-dups")
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    gone = durable(gone, "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    known = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # ids for rows without one: above all others if there is room for 2 ** 62 there, else below
+    low = -(1 << 63) if known[1] is not None and known[1] >= 1 << 62 else 1 << 62
+    if low < 0 and known[0] < -(1 << 62):
+        raise ValueError("no room for ids of rows without one")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    named = docs.withColumn("node", F.coalesce("doc_id", text_hash + F.lit(low)))
+    found = durable(near_dups.near_duplicates(named, k=5, threshold=0.8, id_column="node"), "near-dups")
+    gone = durable(found.filter(~F.col("kept")).select(F.col("doc_id").alias("node")).distinct(), "gone")
+    kept = named.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "node", "left_anti").select(*named.columns)
+    twice = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("node"))
     twice = durable(twice, "twice")
     if not twice.limit(1).count():
-        return kept
-    one = (kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
-           .groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(one)
+        return kept.drop("node")
+    row = F.struct(*docs.columns)
+    one = (kept.join(twice, "node", "left_semi").groupBy("node").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*"))
+    return kept.join(twice, "node", "left_anti").select(*docs.columns).union(one)
 
 
+@any_columns
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a word inside a benchmark window."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), named=False)
