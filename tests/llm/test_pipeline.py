@@ -122,12 +122,38 @@ def test_stages_take_awkward_rows_and_none(spark, tmp_path):
         assert len(ids) == len(set(ids)) and (-4 not in ids) and bool(got) == bool(rows)
 
 
+ODD = ("a.b", "__grade", "__tail", "__spans", "__kinds", "__n_words", "__in", "node", "c0", "kept", "weird `tick")
+
+
+def test_stages_take_any_column_names_and_types(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(2, cases.prose(7))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, t, {"k": i or 0}) for i, t in cases.texts()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,long>").select(
+        "*", *[F.lit("x").alias(c) for c in ODD])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name != "byte-level BPE":
+            assert got.columns == docs.columns and [t for _, t in got.dtypes] == [t for _, t in docs.dtypes]
+        assert got.toDF(*[f"c{i}" for i in range(len(got.columns))]).count() > 0
+
+
+def test_rows_without_id_are_deduplicated(spark):
+    base, other = cases.prose(1), cases.prose(6)
+    near = base.replace(base.split()[7], "changed", 1)
+    rows = [(None, base), (None, near), (5, near), (None, other), (None, other), (None, None), (None, ""), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, extra string")
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text or "", r.extra) for r in got)) == sorted(
+        [(5, near, "x"), (0, other, "x"), (0, "", "x"), (7, "", "x")])
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
-    for name in ("op4_quality_rules", "op5_decontaminate", "op7_licenses", "op8_chat"):
+    for name in ("op4_quality_rules", "op5_decontaminate", "op7_licenses", "op8_chat", "op12_filter_audit", "op13_fill_middle"):
         assert name in entry.oracle_sql()
 
 
