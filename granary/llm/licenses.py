@@ -1,10 +1,11 @@
-"""Licence scan by a positional rare-token index over short licence templates.
+"""Licence scan by a positional rare-token index over licence names, notices and passages of licence texts.
 
-Every template is an array of words; the words that few templates share are its postings (word, template, position),
-weighted by inverse document frequency among the templates. A file looks up its own words among them: each hit votes for
-(template, file position - template position), and votes for one such shift are one aligned occurrence. A template's
-share is the weight of the best shift over the weight of all its postings. It labels the file if that share reaches a
-threshold and all its mandatory key phrases stand in the file.
+Every template is an array of words; the words that few licences share are its postings (word, template, position), weighted
+by inverse document frequency among the licences (labels; a licence has several templates). A file looks up its own words
+among them: each hit votes for (template, file position - template position). Votes for shifts in a window of SLACK words
+make one aligned occurrence, each posting once, so a word more or less does not part it. A template's share is the weight of
+its best occurrence over the weight of all its postings. It labels the file if that share reaches a threshold and all its
+mandatory key phrases stand in the file.
 
 Phrases that stand for themselves ("cc by", ...) are found at all places. Everything is one row expression: no shuffle.
 Words are runs of [0-9a-z] and characters from U+0080 on, A-Z lower-cased.
@@ -33,35 +34,65 @@ class Template(NamedTuple):
     keys: tuple[str, ...]
 
 
-#: Well-known opening sentences and notices of public licences.
+#: Names, short identifiers, notices and passages of public licences.
 TEMPLATES = (
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license",)),
-    Template("mit", "Released under the MIT License", ("mit license",)),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-             "associated documentation files, to deal in the Software without restriction",
-             ("permission is hereby granted", "without restriction")),
-    Template("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is "
-             "hereby granted", ("with or without fee",)),
+    Template("agpl", "GNU Affero General Public License", ("affero general public license",)),
+    Template("agpl", "AGPL-3.0", ("agpl 3 0",)),
+    Template("apache-2.0", "Apache License 2.0", ("apache license",)),
+    Template("apache-2.0", "Apache License, Version 2.0", ("apache license",)),
+    Template("apache-2.0", "SPDX-License-Identifier: Apache-2.0", ("apache 2 0",)),
+    Template("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+             "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+             ("unless required by applicable law or agreed to in writing",)),
+    Template("boost", "Boost Software License 1.0", ("boost software license",)),
+    Template("bsd", "BSD License", ("bsd license",)),
+    Template("bsd", "BSD 2-Clause License", ("bsd 2 clause",)),
+    Template("bsd", "BSD 3-Clause License", ("bsd 3 clause",)),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
              "that the following conditions are met", ("source and binary forms",)),
-    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-             ("mozilla public license",)),
-    Template("lgpl", "This library is free software; you can redistribute it and or modify it under the terms of the GNU "
-             "Lesser General Public License as published by the Free Software Foundation",
-             ("lesser general public license",)),
-    Template("gpl", "This work is licensed under the GNU General Public License, version 3",
-             ("gnu general public license",)),
-    Template("agpl", "This program is licensed under the GNU Affero General Public License",
-             ("affero general public license",)),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
-    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa",)),
+    Template("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+             "following disclaimer", ("redistributions of source code",)),
+    Template("cc-by", "Creative Commons Attribution 4.0", ("creative commons attribution 4 0",)),
+    Template("cc-by", "Creative Commons Attribution License", ("creative commons attribution license",)),
+    Template("cc-by-nc", "CC BY-NC", ("cc by nc",)),
+    Template("cc-by-nc", "Creative Commons Attribution-NonCommercial", ("creative commons attribution noncommercial",)),
+    Template("cc-by-sa", "CC BY-SA", ("cc by sa",)),
+    Template("cc-by-sa", "Creative Commons Attribution-ShareAlike", ("creative commons attribution sharealike",)),
+    Template("cc0", "CC0 1.0", ("cc0 1 0",)),
     Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
-             "to this work CC0 1.0 Universal", ("cc0",)),
-    Template("unlicense", "This is free and unencumbered software released into the public domain",
-             ("unencumbered software",)),
+             "to this work", ("related or neighboring rights",)),
+    Template("epl", "Eclipse Public License", ("eclipse public license",)),
+    Template("gpl", "GNU General Public License", ("gnu general public license",)),
+    Template("gpl", "GPL-2.0", ("gpl 2 0",)),
+    Template("gpl", "GPL-3.0", ("gpl 3 0",)),
+    Template("gpl", "GPLv2", ("gplv2",)),
+    Template("gpl", "GPLv3", ("gplv3",)),
+    Template("gpl", "This program is free software: you can redistribute it and or modify it under the terms of the GNU General "
+             "Public License as published by the Free Software Foundation", ("gnu general public license",)),
+    Template("isc", "ISC License", ("isc license",)),
+    Template("isc", "SPDX-License-Identifier: ISC", ("identifier isc",)),
+    Template("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is "
+             "hereby granted", ("with or without fee",)),
+    Template("lgpl", "GNU Lesser General Public License", ("lesser general public license",)),
+    Template("lgpl", "LGPL-2.1", ("lgpl 2 1",)),
+    Template("lgpl", "LGPL-3.0", ("lgpl 3 0",)),
+    Template("mit", "MIT License", ("mit license",)),
+    Template("mit", "MIT Licence", ("mit licence",)),
+    Template("mit", "SPDX-License-Identifier: MIT", ("identifier mit",)),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+             "associated documentation files, to deal in the Software without restriction",
+             ("permission is hereby granted", "without restriction")),
+    Template("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+             "portions of the Software", ("this permission notice",)),
+    Template("mpl-2.0", "Mozilla Public License", ("mozilla public license",)),
+    Template("mpl-2.0", "MPL-2.0", ("mpl 2 0",)),
+    Template("unlicense", "The Unlicense", ("the unlicense",)),
+    Template("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    Template("zlib", "zlib License", ("zlib license",)),
 )
-#: Words that more templates than this share are not indexed; the share of a template's weight that must line up.
-RARE, SHARE = 3, 0.7
+#: Words that more licences than this share are no rare tokens; the share of a template's weight that must line up; words that
+#: may be missing or inserted between them.
+RARE, SHARE, SLACK = 3, 0.7, 2
 
 
 class Posting(NamedTuple):
@@ -76,10 +107,11 @@ def template_words(text: str) -> list[str]:
 
 
 def postings(templates: tuple[Template, ...]) -> list[Posting]:
-    """The rarer words of every template with their positions; weights are thousandths of the idf."""
+    """The rarer words of every template with their positions; weights are thousandths of the idf over the licences."""
     found = [template_words(t.text) for t in templates]
-    shared = Counter(w for ws in found for w in set(ws))
-    return [Posting(w, k, i, round(1000 * math.log(1 + len(found) / shared[w])))
+    labels = {t.label for t in templates}
+    shared = Counter(w for _, w in {(t.label, w) for t, ws in zip(templates, found) for w in ws})
+    return [Posting(w, k, i, round(1000 * math.log(1 + len(labels) / shared[w])))
             for k, ws in enumerate(found) for i, w in enumerate(ws) if shared[w] <= RARE]
 
 
@@ -133,17 +165,20 @@ def aligned(line: Column, templates: tuple[Template, ...]) -> Column:
     zero = F.array(*[F.lit(0).cast("long") for _ in templates])
 
     def votes(hit: Column) -> Column:
-        return F.transform(F.filter(_literal(entries), lambda p: p["word"] == hit["word"]), lambda p: F.struct(
-            p["template"].alias("template"), (hit["at"] - p["position"]).alias("shift"), p["weight"].alias("weight")))
+        mine = F.filter(_literal(entries), lambda p: p["word"] == hit["word"])
+        return F.flatten(F.transform(mine, lambda p: F.array(*[F.struct(
+            p["template"].alias("template"), (hit["at"] - p["position"] - d).alias("shift"), p["position"].alias("position"),
+            p["weight"].alias("weight")) for d in range(SLACK + 1)])))
 
     def add(state: Column, vote: Column) -> Column:
         same = (state["template"] == vote["template"]) & (state["shift"] == vote["shift"])
-        run = F.when(same, state["run"] + vote["weight"]).otherwise(vote["weight"].cast("long"))
+        again = same & (state["position"] == vote["position"])
+        run = F.when(again, state["run"]).when(same, state["run"] + vote["weight"]).otherwise(vote["weight"].cast("long"))
         return let(run, lambda r: F.struct(
-            vote["template"].alias("template"), vote["shift"].alias("shift"), r.alias("run"),
+            vote["template"].alias("template"), vote["shift"].alias("shift"), vote["position"].alias("position"), r.alias("run"),
             F.transform(state["best"], lambda b, k: F.when(k == vote["template"], F.greatest(b, r)).otherwise(b)).alias("best")))
 
-    start = F.struct(F.lit(-1).alias("template"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("run"), zero.alias("best"))
+    start = F.struct(F.lit(-1).alias("template"), F.lit(0).alias("shift"), F.lit(0).alias("position"), F.lit(0).cast("long").alias("run"), zero.alias("best"))
     return let(found, lambda hits: F.when(F.size(hits) == 0, zero).otherwise(
         F.aggregate(F.array_sort(F.flatten(F.transform(hits, votes))), start, add, lambda s: s["best"])))
 
@@ -201,7 +236,8 @@ b AS (SELECT doc_id, i, label FROM u, (VALUES {base}) AS p(ph, label) WHERE ws[i
 bd AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
 idx(word, template, pos, weight) AS (VALUES {index}),
 rule(template, label, total, keys) AS (VALUES {rules}),
-votes AS (SELECT doc_id, template, sum(weight) AS got FROM u JOIN idx ON ws[i + 1] = word GROUP BY doc_id, template, i - pos),
+hits AS (SELECT DISTINCT doc_id, template, i - pos - unnest(range(0, {SLACK + 1})) AS shift, pos, weight FROM u JOIN idx ON ws[i + 1] = word),
+votes AS (SELECT doc_id, template, sum(weight) AS got FROM hits GROUP BY doc_id, template, shift),
 best AS (SELECT doc_id, template, max(got) AS got FROM votes GROUP BY ALL),
 m AS (SELECT doc_id, label, CAST(got AS DOUBLE) / total AS share FROM best JOIN rule USING (template) JOIN w USING (doc_id)
       WHERE CAST(got AS DOUBLE) / total >= {SHARE}

@@ -76,6 +76,39 @@ def test_licence_places(spark, text, n, first, last, labels):
     assert 0 <= row[0].score <= 1 and (row[0].score > 0) == bool(labels) and row[0].n_words == len(cases.alnum_words(text))
 
 
+WORDINGS = [
+    ("Licensed under the MIT License", "mit"), ("This project is distributed under the MIT License.", "mit"),
+    ("This code is available under the terms of the MIT licence", "mit"), ("// SPDX-License-Identifier: MIT", "mit"),
+    ("Apache License 2.0", "apache-2.0"), ("Licensed under the Apache License, v. 2.0", "apache-2.0"),
+    ("Apache Software License, see the Apache License (the version 2.0 of it)", "apache-2.0"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("BSD 3-Clause License", "bsd"), ("the (new) BSD license applies", "bsd"),
+    ("spdx-license-identifier: BSD-2-Clause", "bsd"), ("Mozilla Public License 2.0", "mpl-2.0"), ("MPL-2.0", "mpl-2.0"),
+    ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"), ("Creative Commons Attribution 4.0 International", "cc-by"),
+    ("licence: GPL-3.0-or-later", "gpl"), ("it is GPLv2 software", "gpl"), ("LGPL-2.1-only", "lgpl"), ("AGPL-3.0", "agpl"),
+    ("published under the ISC license", "isc"), ("CC0 1.0 Universal", "cc0"), ("see the Unlicense", "unlicense"),
+    ("Permission is hereby granted, free of any charge, to each person obtaining a copy of this software and its associated "
+     "documentation files, to deal in this Software without any restriction", ""),
+    ("Permission is hereby granted, free of charge, to any one person obtaining a copy of this software and the associated "
+     "documentation files, to deal in the Software without restriction", "mit"),
+]
+OTHERS = [
+    "er kam mit der license", "the apache helicopter, version 2.0", "a driving license for the bsd office",
+    "mozilla in public, licensed cab", "creative people in the commons", "permission to use the copy room without fee",
+    "affero has a general store", "mit mit mit mit mit mit", "public public license license"]
+
+
+def test_usual_wordings_are_labelled_and_other_texts_are_not(spark):
+    words = cases.prose(3, 30)
+    texts = [t for t, _ in WORDINGS] + [f"{words} {t} {words}" for t, _ in WORDINGS] + OTHERS
+    got = {r.doc_id: r.labels for r in licenses.scan(cases.documents(spark, list(enumerate(texts)))).collect()}
+    want = [label for _, label in WORDINGS] * 2 + [""] * len(OTHERS)
+    assert [(t, got[i]) for i, t in enumerate(texts)] == list(zip(texts, want))
+
+
+def test_every_template_has_rare_words():
+    assert min(licenses.weights(licenses.TEMPLATES)) > 0
+
+
 def test_licences_on_awkward_rows(spark):
     assert licenses.scan(cases.documents(spark)).count() == len(cases.texts())
     assert licenses.scan(cases.empty(spark)).count() == 0
