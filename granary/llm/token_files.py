@@ -11,9 +11,10 @@ Shards follow ascending doc_id, so the offset of a document among all documents
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,10 @@ from granary.llm.common import utf8
 MAGIC = b"EFTOKEN1"
 #: Documents, without id, with negative-safe smallest id, ids, their width in bytes, bytes of the two codes.
 FOOTER = struct.Struct("<QQqQIQQ8s")
-SAMPLE = 256
+#: Every how many values the place of an upper bit is stored; values packed at a time, a multiple of it and of 8.
+SAMPLE, PACK = 256, 4096
+#: Shards hold this many bytes of text up to FILES of them, then more, at most SHARD_MOST; a document counts ROW bytes more.
+SHARD, SHARD_MOST, FILES, ROW = 32 << 20, 1 << 30, 10_000, 256
 STOPS = (b",", b".")
 MARK = b"\x01"
 
@@ -42,16 +46,22 @@ class EliasFano:
         self.n, self.width, self.lower, self.upper, self.samples = n, width, lower, upper, samples
 
     @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.uint64)
-        n = len(values)
-        width = max(0, (int(values[-1] + np.uint64(1)) // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        lower = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        upper = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
-        upper[ones] = 1
-        return cls(n, width, lower, np.packbits(upper, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
+    def of(cls, values: np.ndarray, least: int = 0) -> EliasFano:
+        """Code of values - least, where values are 64-bit integers; PACK values at a time, so nothing but the code grows."""
+        n, base = len(values), np.uint64(least % (1 << 64))
+        last = int(values[-1]) - least if n else 0
+        width = min(63, max(0, ((last + 1) // n).bit_length() - 1)) if n else 0
+        lower = []
+        upper = np.zeros(((last >> width) + n - 1) // 8 + 1 if n else 0, np.uint8)
+        samples = np.zeros(-(-n // SAMPLE), np.uint32)
+        for at in range(0, n, PACK):
+            part = values[at : at + PACK].astype(np.uint64) - base
+            bits = (part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+            lower.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+            ones = (part >> np.uint64(width)).astype(np.int64) + np.arange(at, at + len(part))
+            np.bitwise_or.at(upper, ones >> 3, np.left_shift(1, ones & 7).astype(np.uint8))
+            samples[at // SAMPLE : at // SAMPLE + -(-len(part) // SAMPLE)] = ones[::SAMPLE]
+        return cls(n, width, np.concatenate(lower) if lower else np.zeros(0, np.uint8), upper, samples)
 
     def to_bytes(self) -> bytes:
         head = self.HEAD.pack(self.n, self.width, len(self.lower), len(self.upper))
@@ -65,8 +75,8 @@ class EliasFano:
         upper = np.frombuffer(data, np.uint8, up, at + low)
         return cls(n, width, lower, upper, np.frombuffer(data, "<u4", offset=at + low + up))
 
-    def select(self, i: int) -> int:
-        """Value i, found from the nearest sample without decoding the rest."""
+    def place(self, i: int) -> int:
+        """Place of one number i among the upper bits, counted from the nearest sample before it."""
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = at // 8
         word = int(self.upper[byte]) & (0xFF << (at % 8))
@@ -76,21 +86,24 @@ class EliasFano:
             word = int(self.upper[byte])
         for _ in range(left):
             word &= word - 1
-        high = byte * 8 + (word & -word).bit_length() - 1 - i
-        low = 0
-        for k in range(self.width):
-            bit = i * self.width + k
-            low |= (int(self.lower[bit // 8]) >> (bit % 8) & 1) << k
-        return high << self.width | low
-
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        if self.width and self.n:
-            bits = np.unpackbits(self.lower, bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
-            out |= (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
+        return byte * 8 + (word & -word).bit_length() - 1
+
+    def select(self, i: int) -> int:
+        """Value i, without decoding the rest."""
+        return int(self.span(i, i + 1)[0])
+
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: both ends are selected among the upper bits and only what lies between them is decoded."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        first, last = self.place(i) // 8, self.place(j - 1) // 8
+        ones = np.flatnonzero(np.unpackbits(self.upper[first : last + 1], bitorder="little")) + first * 8
+        skip = int(np.searchsorted(ones, self.place(i)))
+        high = (ones[skip : skip + j - i] - np.arange(i, j)).astype(np.uint64) << np.uint64(self.width)
+        low = i * self.width
+        bits = np.unpackbits(self.lower[low // 8 : -(-j * self.width // 8)], bitorder="little")[low % 8 :]
+        bits = bits[: (j - i) * self.width].reshape(j - i, self.width).astype(np.uint64)
+        return high | (bits << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 class WordCache:
@@ -98,7 +111,7 @@ class WordCache:
 
     by_space=False hands whole texts to the library. by_space=True hands it each distinct word between ASCII white space
     once, A-Z lower-cased, and joins the results. That is exact for tokenizers that lower-case, drop white space and never
-    merge across it; the first text of every task is encoded both ways, and a difference stops the job.
+    merge across it; one text of every 256 of a task is encoded both ways, and a difference stops the job.
     Strings that look like special tokens are ordinary text.
     """
 
@@ -132,10 +145,9 @@ class WordCache:
         if not self.by_space:
             return self.whole([t or "" for t in texts])
         words = [utf8(t).lower().split() for t in texts]
-        seen = set(chain.from_iterable(words))
-        new = [w for w in seen if w not in self.known]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(words)))
         if len(self.known) + len(new) > self.WORDS:
-            self.known, new = {}, list(seen)
+            self.known, new = {}, set(chain.from_iterable(words))
         # a comma or full stop behind a letter or digit is a piece of its own, so the word without it is enough
         cut = [w for w in new if w[-1:] in STOPS and w[-2:-1].isalnum()]
         order = [w for w in {*new, *(w[:-1] for w in cut), *STOPS}.difference(cut) if w not in self.known]
@@ -175,41 +187,48 @@ def write_shard(
     context = TaskContext.get()
     shard, uri = context.partitionId(), shard_uri(folder, context.partitionId())
     end = np.array([end_id], cache.type).tobytes()
-    ids: list[int] = []
-    lengths: list[int] = []
-    nulls = 0
+    ids, ends = array("q"), array("q")
+    n_tokens = nulls = seen = 0
     files, path = place(uri)
     files.create_dir(path.rpartition("/")[0])
     own = f"{path}.{context.taskAttemptId()}"
     with files.open_output_stream(own) as out:
         out.write(MAGIC)
-        first = True
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 got = cache.encode(texts)
-                if first and cache.by_space and cache.whole([texts[0] or ""])[0] != got[0]:
+                # another place in every slice, so that what is compared is spread over the task
+                k = seen * 101 % len(texts)
+                if cache.by_space and cache.whole([texts[k] or ""])[0] != got[k]:
                     raise ValueError("this tokenizer does not encode word by word; use by_space=False")
-                first = False
+                seen += 1
                 for i, data in zip(part.column(0).to_pylist(), got):
-                    nulls += i is None
-                    if i is not None:
+                    if i is None:
+                        nulls += 1
+                    else:
                         ids.append(i)
-                    lengths.append(len(data) // cache.width + 1)
+                    n_tokens += len(data) // cache.width + 1
+                    ends.append(n_tokens)
                     out.write(data + end)
-        ends = np.cumsum(lengths, dtype=np.uint64) if lengths else np.zeros(0, np.uint64)
         least = ids[0] if ids else 0
-        codes = [EliasFano.of(np.array([i - least for i in ids], np.uint64)).to_bytes(), EliasFano.of(ends).to_bytes()]
+        codes = [EliasFano.of(np.asarray(ids), least).to_bytes(), EliasFano.of(np.asarray(ends)).to_bytes()]
         for code in codes:
             out.write(code)
-        out.write(FOOTER.pack(len(lengths), nulls, least, int(sum(lengths)), cache.width, *map(len, codes), MAGIC))
+        out.write(FOOTER.pack(len(ends), nulls, least, n_tokens, cache.width, *map(len, codes), MAGIC))
     if files.get_file_info(path).type != pafs.FileType.NotFound:
         files.delete_file(path)
     files.move(own, path)
     yield pa.RecordBatch.from_pydict(
-        {"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(lengths)], pa.int64()),
-         "n_tokens": pa.array([int(sum(lengths))], pa.int64())})
+        {"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(ends)], pa.int64()),
+         "n_tokens": pa.array([n_tokens], pa.int64())})
+
+
+def shard_count(docs: DataFrame, text_column: str) -> int:
+    """Shards for these texts by their size in bytes, whatever the number of shuffle partitions."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_column), F.lit(0)) + ROW)).first()[0] or 0
+    return max(1, -(-size // SHARD_MOST), min(-(-size // SHARD), FILES))
 
 
 def write_token_files(
@@ -220,12 +239,13 @@ def write_token_files(
 
     folder is a URI that all executors can write (see scratch_path). The rows are dealt by ranges of the id, so no task
     depends on how sources or copies are spread; a task streams its ids to a file of its own attempt and renames it, so
-    a lost executor costs only its tasks. The driver gets three numbers per shard.
+    a lost executor costs only its tasks. The driver gets three numbers per shard. Without shards their number follows from
+    the bytes of the texts, so that a task's work and the 16 bytes it keeps of each document are bounded.
     Null texts are empty documents (only end_id). Rows without an id come first. Equal ids are ordered by text.
     An empty table gives no documents. Other columns are ignored.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shard_count(docs, text_column)
     dealt = (
         docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
         .repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
@@ -257,34 +277,39 @@ class ShardFile:
         self.ids = EliasFano.from_bytes(self.file.read_at(a, at))
         self.ends = EliasFano.from_bytes(self.file.read_at(b, at + a))
 
-    def bounds(self, i: int) -> tuple[int, int]:
-        """First and end position of document i in the shard's id array."""
-        return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
+    def bounds(self, i: int, j: int) -> np.ndarray:
+        """The position where document i starts in the shard's id array, and those where documents i to j - 1 end."""
+        start = [self.ends.select(i - 1)] if i else [0]
+        return np.concatenate([np.array(start, np.int64), self.ends.span(i, j).astype(np.int64)])
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         data = self.file.read_at((stop - start) * self.width, len(MAGIC) + start * self.width)
         return np.frombuffer(data, f"<u{self.width}")
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + [int(v) + self.least for v in self.ids.values()]
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Ids of documents i to j - 1; those without id come first."""
+        known = self.ids.span(max(i - self.nulls, 0), max(j - self.nulls, 0))
+        return [None] * (min(j, self.nulls) - min(i, self.nulls)) + [int(v) + self.least for v in known]
 
 
 def read_shards(batches: Iterator[pa.RecordBatch], folder: str, block: int) -> Iterator[pa.RecordBatch]:
-    """Documents of the shards named in the batches, about block ids at a time."""
+    """Documents of the shards named in the batches, about block ids at a time; offsets come from select, a sample's documents
+    at once."""
     for batch in batches:
         for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             file = ShardFile(shard_uri(folder, shard))
-            ids, ends = file.doc_ids(), file.ends.values().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            i = 0
-            while i < len(ids):
-                j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
-                tokens = file.tokens(int(starts[i]), int(ends[j - 1])).astype("<u4")
-                cut = [tokens[a - starts[i] : b - starts[i]].tobytes() for a, b in zip(starts[i:j], ends[i:j])]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(ids[i:j], pa.int64()), "start": pa.array(starts[i:j] + base, pa.int64()),
-                     "n_tokens": pa.array(ends[i:j] - starts[i:j], pa.int64()), "ids": pa.array(cut, pa.binary())})
-                i = j
+            for at in range(0, file.n_docs, SAMPLE):
+                n = min(SAMPLE, file.n_docs - at)
+                ids, cuts = file.doc_ids(at, at + n), file.bounds(at, at + n)
+                i = 0
+                while i < n:
+                    j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + block, "right")) - 1)
+                    tokens = file.tokens(int(cuts[i]), int(cuts[j])).astype("<u4")
+                    own = [tokens[a:b].tobytes() for a, b in zip(cuts[i:j] - cuts[i], cuts[i + 1 : j + 1] - cuts[i])]
+                    yield pa.RecordBatch.from_pydict(
+                        {"doc_id": pa.array(ids[i:j], pa.int64()), "start": pa.array(cuts[i:j] + base, pa.int64()),
+                         "n_tokens": pa.array(np.diff(cuts[i : j + 1]), pa.int64()), "ids": pa.array(own, pa.binary())})
+                    i = j
 
 
 def read_token_files(spark: SparkSession, folder: str, table: DataFrame, block: int = 1 << 20) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
+import tempfile
+import tracemalloc
 import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -21,11 +24,43 @@ def library(code):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=code.bpe.ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2, 3], list(range(0, 100_000, 37)), [10**12, 10**15]])
+@pytest.mark.parametrize("values", [
+    [], [0], [5, 5, 5], [0, 1, 2, 3], list(range(0, 400_000, 37)), [10**12, 10**15], [0] * 5000 + [2**62], [7] * 300 + list(range(9, 9000))])
 def test_elias_fano_gives_back_and_selects(values):
-    made = token_files.EliasFano.of(np.array(values, np.uint64))
+    made = token_files.EliasFano.of(np.array(values, np.int64))
     read = token_files.EliasFano.from_bytes(made.to_bytes())
-    assert read.values().tolist() == values and [read.select(i) for i in range(len(values))] == values
+    assert [read.select(i) for i in range(len(values))] == values
+    for i in range(0, len(values), 97):
+        for n in (1, 96, 256, 700):
+            assert read.span(i, min(i + n, len(values))).tolist() == values[i : i + n]
+    assert read.span(0, len(values)).tolist() == values
+
+
+def test_elias_fano_of_ids_from_end_to_end_of_their_range():
+    values = [-(1 << 63), -5, 0, 0, (1 << 63) - 1]
+    read = token_files.EliasFano.from_bytes(token_files.EliasFano.of(np.array(values, np.int64), values[0]).to_bytes())
+    assert [int(v) + values[0] for v in read.span(0, 5)] == values
+
+
+def test_elias_fano_packs_in_pieces():
+    values = np.arange(0, 40_000_000, 40)
+    tracemalloc.start()
+    code = token_files.EliasFano.of(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(code.to_bytes()) + 8_000_000
+
+
+def test_shards_follow_from_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 1000) for k in range(100)] + [(-1, None)], "doc_id long, text string")
+    size = 100 * 1000 + 101 * token_files.ROW
+    monkeypatch.setattr(token_files, "SHARD", 10_000)
+    assert token_files.shard_count(docs, "text") == -(-size // 10_000)
+    monkeypatch.setattr(token_files, "FILES", 3)
+    assert token_files.shard_count(docs, "text") == 3
+    monkeypatch.setattr(token_files, "SHARD_MOST", 20_000)
+    assert token_files.shard_count(docs, "text") == -(-size // 20_000)
+    assert token_files.shard_count(docs.limit(0), "text") == 1
 
 
 def test_elias_fano_is_small():
@@ -51,7 +86,7 @@ def test_token_files_hold_whole_texts_in_order(spark, shards, by_space):
         at += len(ids)
     assert [(r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in got] == want
     file = token_files.ShardFile(token_files.shard_uri(place, 0))
-    spans = [file.bounds(k) for k in range(file.n_docs)]
+    spans = [file.bounds(k, k + 1) for k in range(file.n_docs)]
     assert [zlib.crc32(file.tokens(*s).astype("<u4").tobytes()) for s in spans] == [zlib.crc32(w[3]) for w in want[: len(spans)]]
 
 
@@ -67,6 +102,19 @@ def test_a_tokenizer_that_merges_over_spaces_is_refused(spark):
         token_files.write_token_files(cases.documents(spark), place, public_tokenizers.path("byte_bpe_50k.json"), 1, True, 2)
 
 
+def test_words_are_compared_over_the_whole_task(monkeypatch):
+    cache = token_files.WordCache(cases.WORDS, True)
+    seen, whole = [], cache.whole
+    monkeypatch.setattr(cache, "whole", lambda texts: seen.extend(texts) or whole(texts))
+    monkeypatch.setattr(token_files, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {
+        "partitionId": lambda self: 0, "taskAttemptId": lambda self: 0})())}))
+    texts = [f"plain{k}" for k in range(1024)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1024)), "text": texts})
+    with tempfile.TemporaryDirectory() as folder:
+        list(token_files.write_shard(iter([batch]), folder, cache, 1))
+    assert {texts.index(t) // 256 for t in seen if t in texts} == {0, 1, 2, 3}
+
+
 def test_byte_bpe_is_the_library_s(spark, library):
     encoded = byte_bpe.encode_texts(cases.documents(spark), cases.RANKS, public_tokenizers.PATTERN, keep=["source"])
     decoded = byte_bpe.decode_ids(encoded, cases.RANKS, public_tokenizers.PATTERN, keep=["ids", "source"])
