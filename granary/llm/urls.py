@@ -6,11 +6,14 @@ fixed size: the driver holds those numbers and nothing else, and scoring reads t
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm import url_table
 from granary.llm.common import let
 from granary.session import durable
 
@@ -29,23 +32,8 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Words that the labelled table's host names are made of.
-BAD_WORDS = ("casino", "casino-bonus", "online-casino", "bets", "betting", "poker", "slots", "cheap-meds", "pills", "viagra",
-             "payday-loans", "win-cash", "adult-chat", "xxx", "crack-keygen", "free-spins", "lottery")
-GOOD_WORDS = ("news", "docs", "wiki", "library", "museum", "university", "weather", "journal", "garden", "recipes", "history",
-              "travel", "science", "school", "einheit", "blog", "theory", "nations", "another", "bakery", "concert", "studio",
-              "hospital", "parliament", "mountain", "river", "heritage", "reunion", "shoes", "threshold", "tennis", "english",
-              "there", "others", "tables", "stories", "mention", "renting", "cheese", "farm", "free-software", "winter",
-              "catalogue", "biblioteca", "zeitung", "maison")
-#: What stands behind a word: a public suffix, so that the word is the registered name, or another's domain. Both kinds
-#: of words get all of them.
-ENDINGS = ("com", "org", "net", "info", "de", "fr", "es", "it", "co.uk", "io", "eu", "com.br", "webspace.com", "hosting.org",
-           "homepage.net", "pages.io", "cloudsite.eu", "myserver.de", "portal.fr", "users.provider.co.uk", "ciudad.es",
-           "sites.info")
-FRONTS = ("", "www.", "m.", "blog.")
-PATHS = ("/", "/en/1234", "/fr/77.html", "/de/5210/", "/es/9?page=2", "")
 #: Buckets of the hashed n-grams, lengths of the n-grams, steps and rate of the training, weight decay.
-BUCKETS, GRAMS, STEPS, RATE, DECAY = 4096, (3, 4, 5), 40, 4.0, 1e-4
+BUCKETS, GRAMS, STEPS, RATE, DECAY = 1 << 14, (3, 4, 5), 25, 1.0, 1e-6
 #: A url without a rule is blocked from this probability on.
 BLOCK = 0.5
 
@@ -73,22 +61,23 @@ def features(host: Column, path: Column) -> Column:
     """Distinct buckets of the character n-grams of the whole host and of the path, runs of digits in it as 0."""
 
     def grams(text: Column, mark: str) -> Column:
-        padded = F.concat(F.lit(mark), text, F.lit("$"))
-        return let(padded, lambda s: F.flatten(F.array(*[
-            F.transform(
-                F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.pmod(F.xxhash64(F.substr(s, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
-            for n in GRAMS])))
+        # the characters are cut once, so the work grows with the length of a url and not with its square
+        def of(chars: Column) -> Column:
+            def from_each(n: int) -> Column:
+                starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+                return F.transform(starts, lambda i: F.pmod(
+                    F.xxhash64(F.concat(*[F.get(chars, i + k) for k in range(n)])), F.lit(BUCKETS)).cast("int"))
+
+            return F.flatten(F.array(*map(from_each, GRAMS)))
+
+        return let(F.split(F.concat(F.lit(mark), text, F.lit("$")), ""), of)
 
     return F.array_distinct(F.concat(grams(host, "^"), grams(F.regexp_replace(path, "[0-9]+", "0"), "/")))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, bad): each word before each ending, plain or behind another label, under all paths."""
-    rows = [(f"https://{FRONTS[(k + j) % len(FRONTS)]}{word}.{ending}{PATHS[(k + j // 2) % len(PATHS)]}", bad)
-            for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS)) for k, word in enumerate(words)
-            for j, ending in enumerate(ENDINGS)]
-    return spark.createDataFrame(rows, "url string, bad int")
+def labelled_urls(spark: SparkSession, taken: Callable[[str], bool] = lambda name: True) -> DataFrame:
+    """The small labelled table (url, bad) of the names that are taken."""
+    return spark.createDataFrame(url_table.labelled(taken), "url string, bad int")
 
 
 def margin(found: Column, weights: list[float]) -> Column:
@@ -102,6 +91,7 @@ def margin(found: Column, weights: list[float]) -> Column:
 def train(labelled: DataFrame, steps: int = STEPS) -> list[float]:
     """Weights by gradient descent over the whole labelled table (url, bad 0 or 1), each step one aggregation by bucket.
 
+    Every weight has its own rate, which falls with the gradients it has met, so rare n-grams learn as fast as common ones.
     labelled has to be small: its n-grams are written once and read once per step. Null labels are left out; null urls are texts without n-grams.
     """
     host, path = split_url(F.col("url"))
@@ -109,6 +99,7 @@ def train(labelled: DataFrame, steps: int = STEPS) -> list[float]:
     rows = durable(known.select(F.col("bad").cast("double").alias("bad"), features(host, path).alias("found")), "url-features")
     total = rows.count()
     weights = [0.0] * (BUCKETS + 1)
+    met = list(weights)
     for _ in range(steps if total else 0):
         miss = rows.select(
             "found", ((1 / (1 + F.exp(-margin(F.col("found"), weights)))) - F.col("bad")).alias("miss"))
@@ -116,9 +107,10 @@ def train(labelled: DataFrame, steps: int = STEPS) -> list[float]:
             F.col("miss") / F.sqrt(F.greatest(F.size("found"), F.lit(1)).cast("double"))).alias("part"))
         value = F.when(F.col("bucket") == BUCKETS, F.col("miss")).otherwise(F.col("part"))
         gradient = scaled.groupBy("bucket").agg(F.round(F.sum(value), 9).alias("g")).collect()
-        weights = [w * (1 - RATE * DECAY) for w in weights]
-        for row in gradient:
-            weights[row.bucket] -= RATE * (0.2 if row.bucket == BUCKETS else 1.0) * row.g / total * 10
+        sums = {row.bucket: row.g * (0.2 if row.bucket == BUCKETS else 1.0) / total for row in gradient}
+        slopes = [sums.get(k, 0.0) + DECAY * w for k, w in enumerate(weights)]
+        met = [m + g * g for m, g in zip(met, slopes)]
+        weights = [w - RATE * g / math.sqrt(m + 1e-12) for w, g, m in zip(weights, slopes, met)]
     return weights
 
 
