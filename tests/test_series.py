@@ -4,9 +4,10 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from granary.operators import joins, splits, windows
+from granary.operators import joins, quantiles, splits, windows
 from granary.operators.quantiles import exact_quantiles
 from granary.plans import features
+from granary.session import durable
 
 
 def plan_of(df):
@@ -195,3 +196,26 @@ def test_gold_table_keeps_the_panel(spark, panel, weather_grid, macro):
     assert row["nearest5_mandi_avg_price"] == pytest.approx(119.5)
     assert row["state_avg_price_7d"] == pytest.approx(sum(101 + 2 * i for i in range(2, 9)) / 7)
     assert len(gold.columns) >= 42
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_quantiles_of_few_groups_are_not_dealt_out_by_group(spark, monkeypatch, few):
+    staged = {}
+
+    def watched(df, name):
+        staged[name] = df._jdf.queryExecution().toString()
+        return durable(df, name)
+
+    monkeypatch.setattr(quantiles, "durable", watched)
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", few)
+    monkeypatch.setattr(quantiles, "SPREAD", 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 1009).cast("double").alias("v"))
+        got = {r["k"]: r["m"] for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}, 10).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    plan = staged["ranges"]
+    assert "_share" in plan if few == 0 else "SortMergeJoin" not in plan
