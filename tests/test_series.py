@@ -219,3 +219,24 @@ def test_quantiles_of_few_groups_are_not_dealt_out_by_group(spark, monkeypatch,
     assert got == {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()}
     plan = staged["ranges"]
     assert "_share" in plan if few == 0 else "SortMergeJoin" not in plan
+
+
+def test_rows_of_a_large_group_are_spread_over_its_days(spark):
+    day = date(2025, 1, 1)
+    rows = [("WHEAT", day + timedelta(days=i), f"M{i}", float(i)) for i in range(10)] + [
+        ("WHEAT", None, "M10", 10.0), (None, day, "M11", 11.0), ("RICE", day, "M12", None)]
+    df = spark.createDataFrame(rows, "commodity string, date date, mandi_id string, v double")
+    got = joins.attach_group_stats(df, ["commodity"], "date", _n=F.count("v"), _mean=F.avg("v"))
+    plain = joins.attach_group_stats(df, ["commodity"], _n=F.count("v"), _mean=F.avg("v"))
+    assert got.columns == plain.columns and rows_of(got, "mandi_id") == rows_of(plain, "mandi_id")
+    split = {r["mandi_id"]: r["split"] for r in splits.chronological_split(df, ["commodity"]).collect()}
+    assert len(split) == 12 and split["M0"] == "train" and split["M9"] == split["M10"] == "test"
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (joins.attach_group_stats(df, ["commodity"], "date", _n=F.count("v")),
+                     splits.chronological_split(df, ["commodity"])):
+            plan = plan_of(made)
+            assert "date" in plan[plan.index("SortMergeJoin"):].split("\n")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
