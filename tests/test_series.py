@@ -240,3 +240,11 @@ def test_rows_of_a_large_group_are_spread_over_its_days(spark):
             assert "date" in plan[plan.index("SortMergeJoin"):].split("\n")[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_unfolded_readings_are_never_broadcast(spark, panel):
+    seen = spark.createDataFrame([("M0", date(2024, 12, 1), 0.5), ("M1", date(2025, 1, 9), 0.6)],
+                                 "mandi_id string, date date, ndvi double")
+    daily = windows.signal_delta(windows.fill_daily(durable(seen)))
+    plan = plan_of(features.join_market_days(panel, daily))
+    assert "Broadcast" not in plan.replace("BroadcastQuery", "") and "SortMergeJoin" in plan
