@@ -133,3 +133,21 @@ def test_rate_stream_agrees_with_the_audit_in_any_order(spark, tmp_path):
 def test_rate_stream_drops_what_comes_too_late(spark, tmp_path):
     got = streamed(spark, tmp_path, [("a", 10), ("a", 200)], [("a", 20), ("a", 150)], [("z", 100_000)])
     assert got == [("a", 10, 1, 1, 0), ("a", 150, 1, 1, 0), ("a", 200, 1, 2, 0)]
+
+
+def test_rate_stream_of_many_clients_keeps_few_states(spark, tmp_path):
+    rows = [(c, T0 + timedelta(seconds=s)) for c in [None, 2 ** 60 + 1, *range(200)] for s in (1, 1, 40, 95)]
+    schema = "client long, ts timestamp"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    spark.createDataFrame([(-1, T0 + timedelta(days=1))], schema).coalesce(1).write.mode("append").parquet(folder)
+    rates = jobs.rate_stream(spark.readStream.schema(schema).parquet(folder), limit=2, buckets=4)
+    query = jobs.write_available(rates, out, str(tmp_path / "mark"))
+    query.awaitTermination()
+
+    def told(df):
+        return sorted(map(str, df.where("client is null or client <> -1").collect()))
+
+    assert told(spark.read.parquet(out)) == told(jobs.rate_audit(spark.createDataFrame(rows, schema), limit=2))
+    # four buckets in the stretches 0 to 2, and those of the last request; a value and a timer each
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= 4 * (4 * 3 + 2)
