@@ -226,7 +226,8 @@ def test_rows_of_a_large_group_are_spread_over_its_days(spark):
     rows = [("WHEAT", day + timedelta(days=i), f"M{i}", float(i)) for i in range(10)] + [
         ("WHEAT", None, "M10", 10.0), (None, day, "M11", 11.0), ("RICE", day, "M12", None)]
     df = spark.createDataFrame(rows, "commodity string, date date, mandi_id string, v double")
-    got = joins.attach_group_stats(df, ["commodity"], "date", _n=F.count("v"), _mean=F.avg("v"))
+    stats = df.groupBy("commodity").agg(F.count("v").alias("_n"), F.avg("v").alias("_mean"))
+    got = joins.by_group_and(df, stats, ["commodity"], "date", "left")
     plain = joins.attach_group_stats(df, ["commodity"], _n=F.count("v"), _mean=F.avg("v"))
     assert got.columns == plain.columns and rows_of(got, "mandi_id") == rows_of(plain, "mandi_id")
     split = {r["mandi_id"]: r["split"] for r in splits.chronological_split(df, ["commodity"]).collect()}
@@ -234,7 +235,7 @@ def test_rows_of_a_large_group_are_spread_over_its_days(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for made in (joins.attach_group_stats(df, ["commodity"], "date", _n=F.count("v")),
+        for made in (joins.by_group_and(df, stats, ["commodity"], "date", "left"),
                      splits.chronological_split(df, ["commodity"])):
             plan = plan_of(made)
             assert "date" in plan[plan.index("SortMergeJoin"):].split("\n")[0]
