@@ -60,6 +60,35 @@ def test_a_query_beside_a_town_meets_few_of_its_points(spark):
     check(spark, town | village, queries | {"opposite": (-20.5, -104.0)}, 5)
 
 
+def test_what_is_staged_does_not_grow_with_the_queries_of_a_tile(spark, monkeypatch):
+    rng = random.Random(11)
+    points = {f"p{i:03}": (rng.uniform(10, 20), rng.uniform(70, 80)) for i in range(200)}
+    queries = {f"q{i:04}": (rng.uniform(15, 15.05), rng.uniform(75, 75.05)) for i in range(1500)}
+    staged, write = {}, geo.durable
+
+    def counting(df, name="stage"):
+        out = write(df, name)
+        staged[name] = max(staged.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(geo, "durable", counting)
+    got = geo.nearest_join(table(spark, queries, "q"), table(spark, points), 3)
+    found = {}
+    for r in got.orderBy("q", "rank").collect():
+        found.setdefault(r["q"], []).append(r["near_id"])
+    assert all(found[q] == brute(points, at, 3) for q, at in queries.items())
+    assert max(n for name, n in staged.items() if name != "asked") <= 12 * 200, staged
+
+
+def test_a_tile_of_many_queries_is_split(spark, monkeypatch):
+    monkeypatch.setattr(geo, "TILE_QUERIES", 5)
+    monkeypatch.setattr(geo, "TASK_CELLS", 10)
+    rng = random.Random(12)
+    points = {f"p{i:02}": (rng.uniform(10, 20), rng.uniform(70, 80)) for i in range(50)} | {"pole": (90.0, 0.0)}
+    queries = {f"q{i:02}": (rng.uniform(14, 16), rng.uniform(74, 76)) for i in range(60)} | {"n": (90.0, 10.0), "m": (89.0, -170.0)}
+    check(spark, points, queries, 4)
+
+
 def test_many_points_within_a_few_metres(spark):
     rng = random.Random(9)
     points = {f"p{i:03}": (10 + rng.uniform(0, 4e-6), 70 + rng.uniform(0, 4e-6)) for i in range(200)}
