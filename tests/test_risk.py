@@ -260,3 +260,17 @@ def test_risk_features(spark, panel):
     cv = row["mandi_std_price"] / row["mandi_mean_price"]
     assert row["risk_score_proxy"] == pytest.approx(0.4 * cv + 0.3 * (1 - 2 / 50) + 0.3 * 0.5)
     assert row["recommended_max_ltv"] == 0.40 or 0.40 <= row["recommended_max_ltv"] <= 0.75
+
+
+def test_risk_table_reads_the_prices_once(spark, panel, monkeypatch):
+    from bindings import queries as Q
+    calls = []
+    monkeypatch.setattr(Q.V, "panel", lambda _, d: calls.append(d) or panel)
+    for name in ("raw_warehouses", "raw_crop_loans", "locations"):
+        monkeypatch.setattr(Q.V, name, lambda *_: None)
+    for name in ("clean_warehouses", "clean_loans"):
+        monkeypatch.setattr(Q.clean, name, lambda raw: raw)
+    monkeypatch.setattr(Q, "anomaly", lambda *_: panel)
+    monkeypatch.setattr(Q.features, "market_anomaly", lambda *_: None)
+    monkeypatch.setattr(Q.features, "gold_risk", lambda prices, *_: prices)
+    assert Q.risk_table(spark, "somewhere").count() == 30 and calls == ["somewhere"]
