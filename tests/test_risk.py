@@ -274,3 +274,17 @@ def test_risk_table_reads_the_prices_once(spark, panel, monkeypatch):
     monkeypatch.setattr(Q.features, "market_anomaly", lambda *_: None)
     monkeypatch.setattr(Q.features, "gold_risk", lambda prices, *_: prices)
     assert Q.risk_table(spark, "somewhere").count() == 30 and calls == ["somewhere"]
+
+
+def test_latest_state_anomaly_does_not_sort_days_by_state(spark):
+    day = [date(2025, 1, d) for d in range(1, 5)]
+    rows = [("A", day[0], 1.0, 1, 0), ("A", day[2], None, None, 1), ("A", day[1], 2.0, None, None), ("B", day[1], 3.0, 0, None),
+            ("C", day[3], None, None, None), ("C", day[0], 4.0, 1, 1), ("X", day[3], 9.0, 9, 9),
+            ("E", None, 5.0, 1, 0)]
+    anomaly = spark.createDataFrame(
+        rows, "mandi_id string, date date, ndvi_anomaly double, ndvi_stress_flag int, ndvi_surplus_flag int").withColumn("state", F.lit("?"))
+    places = spark.createDataFrame([("A", "goa"), ("B", "Goa "), ("C", "kerala"), ("D", "delhi"), ("E", "assam")], "mandi_id string, state string")
+    got = features.latest_state_anomaly(anomaly, places)
+    assert {tuple(r) for r in got.collect()} == {("GOA", 3.0, 0, 1), ("KERALA", 4.0, 1, 1), ("ASSAM", 5.0, 1, 0)}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[mandi_id" in plan and plan.count("SortAggregate") <= 2, plan
