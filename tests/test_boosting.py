@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,31 @@ def test_search_tries_every_fold_alike_in_one_task_and_spread(spark, monkeypatch
     assert sorted(map(tuple, boosting.search_folds(*args).drop("loss").collect())) == small
 
 
+def test_search_in_a_task_shares_trees_and_gives_what_each_draw_gives_alone(monkeypatch):
+    """Draws that differ in the number of trees alone are trained once, on views of the rows, whatever their order in blocks."""
+    drawn = np.random.default_rng(3)
+    blocks = []
+    for n in (700, 1, 400):
+        y = drawn.gamma(2.0, 100.0, n)
+        y[::50] = np.nan
+        blocks.append((2 * drawn.integers(0, 8, (3, n)).astype(np.uint8), drawn.integers(0, 2**60, n), drawn.integers(0, 30, n).astype(np.int32), y))
+    table = pa.table({"model": pa.array([0] * 3, pa.int32()), "horizon": pa.array([0] * 3, pa.int32()), **{
+        name: pa.array([b[i].tobytes() for b in blocks], pa.binary()) for i, name in enumerate(("bins", "row", "time", "y"))}})
+    params = [boosting.BoostParams(n_estimators=n, max_depth=d, learning_rate=0.3, bins=8) for n, d in ((3, 2), (3, 1), (6, 2))]
+    calls = []
+    monkeypatch.setattr(boosting, "boost", lambda rows, *a, **k: calls.append(len(rows.y)) or trees.boost(rows, *a, **k))
+    made = boosting._tried([("a",)], list(enumerate(params)), [(10, 20), (20, 40), (40, 50)], ["h"], 3, ["commodity"])(table).to_pylist()
+    assert len(made) == 3 * 2 * 3 and len(calls) == 2 * 2 * 3
+    bins, row, time, y = (np.concatenate(x, axis=-1) for x in zip(*blocks))
+    rows = trees.Rows(bins, y, row, time).where(~np.isnan(y))
+    for r in made:
+        p, (until, end) = params[r["draw"]], [(10, 20), (20, 40)][r["fold"] - 1]
+        past, next_ = rows.where(rows.time < until), rows.where((rows.time >= until) & (rows.time < end))
+        start, *alone, _ = trees.boost(past, r["quantile"], 8, p.n_estimators, 0.3, p.max_depth, p.min_samples_leaf, p.subsample, 42)
+        loss = trees.pinball(next_.y - trees.scores(next_.bins, start, 0.3, *alone), r["quantile"]).sum()
+        assert (r["n_train"], r["n_val"]) == (len(past.y), len(next_.y)) and abs(r["loss"] - loss) < 1e-6 * loss
+
+
 def test_report(spark):
     rng = np.random.default_rng(1)
     days = pd.date_range("2023-01-01", periods=300)
