@@ -155,3 +155,15 @@ def test_only_points_with_data(spark, places):
     available = places.where("mandi_id <> 'GOA_B_2_Y'").select("mandi_id")
     asked = spark.createDataFrame([(15.5, 74.2)], "latitude double, longitude double")
     assert geo.nearest_with_data(asked, places, available).select("near_id", F.round("distance_km")).first()["near_id"] == "GOA_A_1_X"
+
+
+def test_neighbour_means_have_the_days_of_the_market_itself(spark):
+    places = spark.createDataFrame([("A", 10.0, 70.0), ("B", 10.1, 70.0), ("C", 10.3, 70.0), ("D", 30.0, 90.0)],
+                                   "mandi_id string, latitude double, longitude double")
+    rows = [("A", "X", 1, 5.0), ("B", "X", 1, 7.0), ("C", "X", 1, 9.0), ("B", "X", 2, 8.0), ("B", "Y", 1, 2.0), ("C", "X", 3, None),
+            ("A", "X", 3, 4.0), ("A", None, 1, 6.0), ("B", None, 1, 3.0)]
+    daily = spark.createDataFrame(rows, "mandi_id string, commodity string, date int, modal_price double")
+    means = {tuple(r) for r in geo.neighbour_means(daily, places, 2).collect()}
+    assert means == {("A", "X", 1, 8.0), ("B", "X", 1, 7.0), ("C", "X", 1, 6.0), ("C", "X", 3, 4.0), ("A", "X", 3, None)}
+    found = {tuple(r)[:3]: r["nearest5_mandi_avg_price"] for r in geo.neighbour_average(daily, places, 2).collect()}
+    assert found == {(m, c, d): {m_[:3]: m_[3] for m_ in means}.get((m, c, d)) for m, c, d, _ in rows}
