@@ -249,3 +249,16 @@ def test_unfolded_readings_are_never_broadcast(spark, panel):
     daily = windows.signal_delta(windows.fill_daily(durable(seen)))
     plan = plan_of(features.join_market_days(panel, daily))
     assert "Broadcast" not in plan.replace("BroadcastQuery", "") and "SortMergeJoin" in plan
+
+
+def test_snapshot_sorts_whole_rows_only_where_the_latest_date_repeats(spark):
+    rows = [("A", "X", d, p) for d, p in (("2024-01-01", 9.0), ("2024-01-03", 5.0), ("2024-01-03", 4.0), ("2024-01-02", 1.0), (None, 0.5))]
+    rows += [("B", "X", None, 3.0), ("B", "X", None, 2.0), ("C", None, "2024-01-01", 7.0), (None, "X", "2024-01-05", 6.0), ("C", None, "2024-01-01", 8.0)]
+    gold = spark.createDataFrame(rows, "mandi_id string, commodity string, date string, modal_price double").withColumn(
+        "date", F.col("date").cast("date")).withColumn("target_price_7d", F.lit(1.0))
+    made = features.serving_snapshot(gold)
+    assert made.columns == ["mandi_id", "commodity", "date", "modal_price"]
+    assert {(m, c, d and str(d), p) for m, c, d, p in made.collect()} == {
+        ("A", "X", "2024-01-03", 4.0), ("B", "X", None, 2.0), ("C", None, "2024-01-01", 7.0), (None, "X", "2024-01-05", 6.0)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "_after" in plan and plan.index("row_number") < plan.index("_after")
