@@ -1,9 +1,11 @@
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from granary import session
 from granary.operators import joins, quantiles, splits, windows
 from granary.operators.quantiles import exact_quantiles
 from granary.plans import features
@@ -262,3 +264,39 @@ def test_snapshot_sorts_whole_rows_only_where_the_latest_date_repeats(spark):
         ("A", "X", "2024-01-03", 4.0), ("B", "X", None, 2.0), ("C", None, "2024-01-01", 7.0), (None, "X", "2024-01-05", 6.0)}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "_after" in plan and plan.index("row_number") < plan.index("_after")
+
+
+def task_sizes(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+
+
+def test_market_days_are_dealt_out_by_their_number(spark, panel, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 2)
+    twice = panel.union(panel.withColumn("commodity", F.lit("RICE")))
+    days = features.market_days(twice, 60)
+    assert rows_of(days, "mandi_id", "date") == rows_of(features.market_days(twice), "mandi_id", "date")
+    sizes = task_sizes(days)
+    assert sum(sizes) == 30 and len(sizes) > 8 and max(sizes) <= 6, sizes
+
+
+def test_sales_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    from bindings import views
+    monkeypatch.setattr(session, "ROWS_A_TASK", 2)
+    day = datetime(2025, 1, 1)
+    sales = [(i % 3 if i % 20 else None, i % 2, day + timedelta(days=i % 10) if i % 19 else None, float(i), 100.0 + i) for i in range(60)]
+    for name, rows, schema in (
+            ("lineitem", sales + sales, "l_suppkey bigint, l_partkey bigint, l_shipdate timestamp, l_quantity double, l_extendedprice double"),
+            ("part", [(0, "ECONOMY"), (1, "PROMO")], "p_partkey bigint, p_type string"),
+            ("supplier", [(k, f"S{k}", 0) for k in range(3)], "s_suppkey bigint, s_name string, s_nationkey bigint"),
+            ("nation", [(0, "GOA")], "n_nationkey bigint, n_name string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = views.panel(spark, str(tmp_path))
+    want = {}
+    for s, p, at, quantity, price in sales:
+        if s is not None:
+            key = (f"GOA_{s}", ("WHEAT", "ONION")[p], at and at.date())
+            want[key] = (max(want.get(key, (0, 0))[0], price), want.get(key, (0, 0))[1] + 2 * quantity)
+    got = {(r["mandi_id"], r["commodity"], r["date"]): (r["modal_price"], r["arrivals_tonnes"]) for r in made.collect()}
+    assert got == want and made.count() == len(want)
+    plan = plan_of(made)
+    assert re.search(r"hashpartitioning\(l_suppkey#\d+L, date#\d+, 60\), REPARTITION_BY_NUM", plan), plan
