@@ -128,6 +128,25 @@ def test_crop_loans(spark):
     assert got[1]["loan_amount_inr"] is None and got[1]["disburse_date"] is None
 
 
+def test_crop_loans_are_not_dealt_out_by_grade_alone(spark):
+    names = ["loan_id", "state", "commodity_category", "season", "disburse_date", "loan_amount_inr", "interest_rate_pct",
+             "term_months", "credit_grade", "ltv_ratio", "is_default"]
+    rows = [(str(i // 2), "a", "x", "y", (None, "bad", "2025-01-01", "2025-01-02")[i % 4], str(i), "7.5", "12", (None, "a", "b")[i % 3],
+             "0.5", str(i % 2)) for i in range(24)]
+    raw = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = clean.clean_loans(raw)
+        got = rows_of(made, "loan_id")
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "disburse_date" in plan[plan.index("SortMergeJoin"):].split("\n")[0], plan
+    assert len(got) == 12 and made.columns[0] == "credit_grade"
+    assert all((r["grade_default_rate"], r["grade_loan_count"]) == ((None, None) if r["credit_grade"] is None else (0.5, 8)) for r in got)
+
+
 def test_consumer_loans(spark):
     raw = spark.createDataFrame(
         [("100", " 36 months", "10.5%", "a", "Charged Off", "5%"), ("100", " 60 months", "n/a", "a", "Fully Paid", "5%"),
