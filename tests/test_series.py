@@ -200,6 +200,19 @@ def test_gold_table_keeps_the_panel(spark, panel, weather_grid, macro):
     assert len(gold.columns) >= 42
 
 
+def test_gold_rows_are_exchanged_once_when_all_columns_are_on_them(spark, panel, weather_grid, macro):
+    cpi, wpi = macro
+    signal = spark.createDataFrame([("M0", date(2025, 1, 1), 0.3)], "mandi_id string, date date, ndvi double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(features.gold_prices(panel, weather_grid, windows.fill_daily(signal), cpi, wpi))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "mandi_id" in x]
+    assert len(lines) == 1 and "commodity" in lines[0]
+
+
 @pytest.mark.parametrize("few", [10_000, 0])
 def test_quantiles_of_few_groups_are_not_dealt_out_by_group(spark, monkeypatch, few):
     staged = {}

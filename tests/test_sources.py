@@ -1,8 +1,12 @@
+import time
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from granary.functions import constants as K
 from granary.operators.shape import normal_header
-from granary.session import durable, scratch_path
+from granary.session import DROP_SHUFFLES, durable, scratch_path
 from granary.sources import sinks, tables
 
 
@@ -96,3 +100,18 @@ def test_durable_cuts_lineage(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and df.agg({"v": "sum"}).first()[0] == 90
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_durable_leaves_no_shuffle_files(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def held():
+        return {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+    before, setting = held(), spark.conf.get(DROP_SHUFFLES, "false")
+    df = durable(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(DROP_SHUFFLES, "false") == setting
+    assert df.agg(F.sum("n")).first()[0] == 1000
