@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from granary import session
 from granary.operators import trees
 from granary.plans import boosting, evaluation
 
@@ -54,6 +55,24 @@ def test_spread_training_gives_the_same_trees(data, model, monkeypatch):
         assert mine.keys() == theirs.keys() and all(np.allclose(mine[k], theirs[k]) for k in mine)
 
 
+def test_spread_training_is_exact_however_many_rows(spark, monkeypatch):
+    """More distinct values a leaf than a task sends: start, cuts and leaves are those of a task, to the last bit."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (60_000, 3)).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.normal(0, 4, 60_000)
+    y[::40], y[::17] = 7.0, np.nan
+    frame = pd.DataFrame({"commodity": "A", "id": range(60_000), "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "y": y, "z": np.round(y)})
+    df = spark.createDataFrame(frame).withColumn("y", F.when(~F.isnan("y"), F.col("y"))).repartition(3).cache()
+    params = boosting.BoostParams(n_estimators=3, learning_rate=0.3, max_depth=2, rewrite_every=2)
+    made = []
+    for most in (7_000_000, 0):
+        monkeypatch.setattr(boosting, "TASK_ROWS", most)
+        made.append(boosting.train(df, {"7d": "y", "30d": "z"}, ["x0", "x1", "x2"], row_key=["id"], params=params))
+    for name in ("start", "feature", "threshold", "value"):
+        assert (getattr(made[0], name) == getattr(made[1], name)).all()
+    assert np.allclose([list(r.values()) for r in made[0].losses], [[r[k] for k in made[0].losses[0]] for r in made[1].losses])
+
+
 def plain_tree(x, score, y, q, least, depth):
     """(feature, cut, left, right) or a leaf value, on raw features, by trying every cut."""
     def gain(mask):
@@ -112,6 +131,30 @@ def test_summaries_keep_ranks():
     assert trees.summary_quantile(*few, 0.5) == trees.lower_quantile(np.array([3.0, 1.0, 2.0]), 0.5) == 2.0
 
 
+@pytest.mark.parametrize("features, bins, depth", [(5, 32, 4), (1, 8, 3), (4, 128, 3), (3, 100, 7)])
+def test_features_counted_in_pairs_give_the_histograms_of_each(features, bins, depth):
+    rng = np.random.default_rng(features)
+    made = (2 * rng.integers(0, bins, (features, 3000))).astype(np.uint8)
+    columns, place = trees.paired(made, bins), rng.integers(0, 2 ** (depth - 1), 3000)
+    assert len(columns) == (features + 1) // 2
+    root = trees.RootCounts(columns, features, bins)
+    up = rng.random(3000) < 0.5
+    for share in (0.8, 0.2, 1.0):
+        use, up = rng.random(3000) < share, up ^ (rng.random(3000) < 0.1)
+        at = np.flatnonzero(use)
+        plain = trees.histogram(made[:, at], place[at], up[at], 2 ** (depth - 1), bins)
+        assert (trees.pair_histogram(columns, features, place[at], up[at], 2 ** (depth - 1), bins, at) == plain).all()
+        assert (root(up, use) == plain.sum(axis=0)).all()
+
+
+def test_every_model_and_horizon_has_a_task_of_its_own(spark):
+    blocks = spark.range(7).select(F.col("id").cast("int").alias("model"), *[F.lit(b"").alias(n) for n in ("bins", "row", "time", "y_a", "y_b", "y_c")])
+    pairs = boosting._in_tasks(blocks.union(blocks), [6, 1, 3, 5, 0, 2], ["a", "b", "c"], lambda t: pa.table(
+        {"rows": [t.num_rows], "pairs": [len(set(zip(*[t.column(n).to_pylist() for n in ("model", "horizon")])))], "first": [t.column("model")[0].as_py()]}),
+        "rows long, pairs long, first long").withColumn("task", F.spark_partition_id()).orderBy("task").collect()
+    assert [(r["rows"], r["pairs"]) for r in pairs] == [(2, 1)] * 18 and [r["first"] for r in pairs[::3]] == [6, 1, 3, 5, 0, 2]
+
+
 def test_model_survives_as_a_table(spark, data, model, tmp_path):
     model.table(spark).write.parquet(str(tmp_path / "model"))
     back = boosting.BoostModel.from_table(spark.read.parquet(str(tmp_path / "model")), ["commodity"])
@@ -169,6 +212,7 @@ def test_search_tries_every_fold_alike_in_one_task_and_spread(spark, monkeypatch
     frame = pd.concat([pd.DataFrame({"commodity": c, "mandi_id": "M", "date": days.date, "x0": rng.uniform(0, 9, 330),
                                      "y": rng.uniform(0, 9, 330)}) for c in "AB"])
     df = spark.createDataFrame(frame)
+    df = df.union(df.limit(1).withColumn("date", F.lit(None).cast("date")))  # in no fold
     draws = boosting.random_draws({"max_depth": [1, 2], "bins": [8, 16]}, 4, base=boosting.BoostParams(
         n_estimators=2, min_samples_leaf=2, quantiles=(0.5,)))
     assert len({(p.max_depth, p.bins) for p in draws}) == 4
@@ -177,8 +221,30 @@ def test_search_tries_every_fold_alike_in_one_task_and_spread(spark, monkeypatch
     args = (df, {"7d": "y"}, draws[:2], bounds, ["x0"])
     small = sorted(map(tuple, boosting.search_folds(*args).drop("loss").collect()))
     assert small == sorted((c, d, 1, "7d", 0.5, 244, 61) for c in "AB" for d in (0, 1))
+    losses = {(r["commodity"], r["draw"]): r["loss"] for r in boosting.search_folds(*args).collect()}
     monkeypatch.setattr(boosting, "TASK_ROWS", 0)
     assert sorted(map(tuple, boosting.search_folds(*args).drop("loss").collect())) == small
+    # Both ways have the same bins, made of the rows of all months.
+    spread = {(r["commodity"], r["draw"]): r["loss"] for r in boosting.search_folds(*args).collect()}
+    assert spread == pytest.approx(losses, rel=1e-9)
+
+
+@pytest.mark.parametrize("most", [7_000_000, 0])
+def test_training_and_search_leave_no_copies_of_the_rows(spark, monkeypatch, tmp_path, most):
+    written = []
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(boosting, "TASK_ROWS", most)
+    write = session.scratch_path
+    for module in (session, boosting):
+        monkeypatch.setattr(module, "scratch_path", lambda s, name: written.append(name) or write(s, name))
+    days = pd.date_range("2024-01-01", periods=300)
+    df = spark.createDataFrame(pd.DataFrame({"commodity": "A", "mandi_id": "M", "date": days.date, "x0": np.arange(300) % 30, "y": np.arange(300) % 7.0}))
+    params = boosting.BoostParams(n_estimators=3, max_depth=1, quantiles=(0.5,), rewrite_every=2)
+    boosting.train(df, {"7d": "y"}, ["x0"], params=params)
+    assert set(written) == {"blocks", "scored"} - ({"scored"} if most else set()) and not list(tmp_path.iterdir())
+    written.clear()
+    boosting.search_folds(df, {"7d": "y"}, [params], [(2024 * 12 + 5, 2024 * 12 + 7), (2024 * 12 + 7, 2024 * 12 + 9)], ["x0"]).collect()
+    assert written.count("blocks") == 1 and not {x.name[:6] for x in tmp_path.iterdir()} - {"tried-"}
 
 
 def test_search_in_a_task_shares_trees_and_gives_what_each_draw_gives_alone(monkeypatch):
@@ -221,6 +287,20 @@ def test_report(spark):
     assert all(r["rmse_lift_pct"] > 0 and r["calibration"] for r in got)
 
 
+def test_the_split_copies_no_rows(spark, monkeypatch):
+    frame = pd.DataFrame({"commodity": "A", "mandi_id": "M", "date": pd.date_range("2023-01-01", periods=100).date, "x0": 1.0,
+                          "modal_price": np.arange(100.0), "target_price_7d": 1.0})
+    gold, written = session.durable(spark.createDataFrame(frame), "gold"), []
+    write = session.durable
+    monkeypatch.setattr(evaluation, "durable", lambda df, name: written.append((name, df.count())) or write(df, name))
+    rows = evaluation.evaluation_rows(gold, ["x0"], [7], top_n=1)
+    assert written == [("largest", 1), ("cuts", 1)]
+    counts = {r["split_7d"]: r["count"] for r in rows.groupBy("split_7d").count().collect()}
+    assert counts == {"train": 71, "val": 15, "test": 14}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "gold-" in plan and "Exchange hash" not in plan and "SortMerge" not in plan
+
+
 def test_small_commodities_are_not_evaluated(spark):
     frame = pd.DataFrame({"commodity": "A", "mandi_id": "M", "date": pd.date_range("2023-01-01", periods=50).date,
                           "x0": 1.0, "modal_price": 1.0, "target_price_7d": 1.0})
