@@ -137,7 +137,7 @@ class Lake:
     def report(self) -> None:
         """Train on the first 70% of the dates, test on the last 15%, against persistence."""
         gold = self.read("gold", "price_features")
-        rows = durable(evaluation.evaluation_rows(gold), "evaluation-rows")
+        rows = evaluation.evaluation_rows(gold)
         metrics = durable(evaluation.evaluate(rows, evaluation.train_on_split(rows)), "metrics")
         sinks.write_csv(metrics, self.path("serving", "evaluation_full"))
         sinks.write_csv(evaluation.report(metrics), self.path("serving", "evaluation_report"))
